@@ -55,3 +55,53 @@ def rank_rows(fragmented: DataFrame, keys: list[str], order: list[str], name: st
     return rows.alias("r").join(starts.alias("h"), match).select(
         *[F.col(f"r.`{c}`") for c in fragmented.columns], (F.col("h.__start") + F.col("r.__in")).alias(name)
     )
+
+
+def carry_rows(fragmented: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The last ``value`` that is not null in the rows before, or null; an as-of look back for keys of any size."""
+    inside = Window.partitionBy(FRAGMENT, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = fragmented.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+    tails = fragmented.groupBy(FRAGMENT, *keys).agg(F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias("__tail"))
+    along = Window.partitionBy(*keys).orderBy(FRAGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    heads = tails.select(FRAGMENT, *keys, F.last("__tail", ignorenulls=True).over(along).alias("__before")).filter("__before is not null")
+    match = [F.col(f"r.{FRAGMENT}") == F.col(f"h.{FRAGMENT}"), *[F.col(f"r.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in keys]]
+    joined = rows.alias("r").join(heads.alias("h"), match, "left")
+    return joined.select(*[F.col(f"r.`{c}`") for c in fragmented.columns], F.coalesce(F.col(f"r.`{name}`"), F.col("h.__before")).alias(name))
+
+
+def trailing_rows(ranked: DataFrame, keys: list[str], rank: str, value: Column, size: int, name: str, block: int = 4096) -> DataFrame:
+    """Values of the ``size`` rows up to and with each row, oldest first, for keys of any size.
+
+    ``ranked`` has the 0-based position of each row in its key (``rank_rows``). Keys are cut into blocks
+    of rows; the last ``size - 1`` rows of a block are also sent to the next as its context.
+    """
+    own = F.floor(F.col(rank) / block)
+    lends = (F.col(rank) % block) > block - size
+    blocks = F.when(lends, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = ranked.withColumn("__own", own).withColumn("__v", F.struct(value.alias("v"))).withColumn("__block", F.explode(blocks))
+    frame = Window.partitionBy(*keys, "__block").orderBy(rank).rowsBetween(-(size - 1), 0)
+    filled = spread.withColumn(name, F.collect_list("__v").over(frame)).filter("__block = __own")
+    return filled.select(*ranked.columns, F.col(name)["v"].alias(name))
+
+
+def group_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Count, mean and exact percentiles by linear interpolation, for groups of any size.
+
+    Values are ranked by range instead of being gathered in one task. Null values are left out; a group
+    without values has no row.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("__x")).filter("__x is not null")
+    ranked = rank_rows(fragment(rows, keys, ["__x"]), keys, ["__x"], "__rank")
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.avg("__x").alias("mean"))
+    match = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in keys] or [F.lit(True)]
+    both = ranked.alias("r").join(F.broadcast(totals.alias("t")) if not keys else totals.alias("t"), match)
+    both = both.select(*[F.col(f"t.`{k}`") for k in keys], "__n", "mean", "__x", "__rank")
+    parts = []
+    for name, share in shares.items():
+        at = (F.col("__n") - 1) * F.lit(share)
+        low, weight = F.floor(at), at - F.floor(at)
+        high = F.least(low + 1, F.col("__n") - 1)
+        lower = F.max(F.when(F.col("__rank") == low, F.col("__x")))
+        upper = F.max(F.when(F.col("__rank") == high, F.col("__x")))
+        parts.append((lower + (upper - lower) * F.max(weight)).alias(name))
+    return both.groupBy(*keys).agg(F.max("__n").alias("n"), F.max("mean").alias("mean"), *parts)

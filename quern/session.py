@@ -31,14 +31,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is
-    absent (tests, single machine) a temporary folder is set. Executor-local checkpoints are never
-    used: a lost executor must not lose the only copy.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is absent (tests,
+    single machine) a temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, never on one executor alone: losing one must not lose the only copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
