@@ -187,7 +187,7 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     fixed = [(int(r[0]), int(r[1])) for r in windows.select("window_id", "capacity_tokens").distinct().orderBy("window_id").collect() if r[0] is not None and r[1] and r[1] > 0]
     if not fixed:
         return sizes.limit(0).selectExpr("0L as window_id", "0L as container", "doc_id", "0L as piece_no", "0L as start", "0L as tokens")
-    items = fragment(pieces(sizes, fixed), ["window_id", "tokens"], ["doc_id", "piece_no"])
+    items = fragment(pieces(cut_lineage(sizes), fixed), ["window_id", "tokens"], ["doc_id", "piece_no"])
     counts: dict[int, dict[int, int]] = {w: {} for w, _ in fixed}
     for w, length, n in items.filter("tokens > 0").groupBy("window_id", "tokens").count().collect():
         counts[w][length] = n
