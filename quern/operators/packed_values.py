@@ -2,9 +2,9 @@
 
 A text is read as a lattice. Atoms (quoted and bracketed spans, links, words, numbers) are never cut;
 between them lie candidate delimiters. A value is a run of pieces between two cuts. How often each value
-occurs is learned from the whole column by expectation maximisation over all cuttings of all texts, and
-Viterbi's algorithm then takes the likeliest cutting of each text: a delimiter inside a value that the
-column knows as a whole stays uncut.
+occurs and how often each kind of delimiter cuts, is learned from the whole column by expectation maximisation
+over all cuttings of all texts. Viterbi's algorithm then takes the likeliest cutting of each text: a
+delimiter inside a value that the column knows as a whole stays uncut.
 
 Edge cases, all covered by tests: null, empty and blank texts and texts of delimiters alone have no
 value; rows with equal id count once; list marks and numbering are no values; a text in JSON notation
@@ -33,8 +33,8 @@ CLOSERS = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "(":
 MAX_PIECES = 4
 #: Probability of a value that the column doesn't know, and the factor for each delimiter inside it.
 UNKNOWN, INSIDE = 1e-2, 1e-7
-#: Probability that a candidate delimiter is a cut.
-CUT = 0.98
+#: Prior of a candidate delimiter being a cut, and the number of delimiters it counts for.
+CUT, CUT_WEIGHT = 0.9, 20.0
 
 _LINK = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s;|\"“”«»<>]+", re.I)
 _DELIMITER = re.compile(
@@ -140,21 +140,44 @@ def segments(parts: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def _weight(count: float, total: float, size: int) -> float:
-    """Probability of a value times that of its inner delimiters being no cuts and its end being one."""
-    known = count / total if total else 0.0
-    p = max(known, UNKNOWN) if size == 1 else known + UNKNOWN * INSIDE ** (size - 1)
-    return p * (1 - CUT) ** (size - 1) * CUT
+def span_weights(spans: list, total: float, marks: str, cuts: dict[str, float]) -> list[tuple[int, int, float]]:
+    """(first piece, piece after the last, weight) of spans ``i, j, c``.
+
+    The weight is the probability of the value, times that of its inner delimiters being no cuts and of
+    the one after it being one. A value with delimiters inside is known from other rows only, so one
+    occurrence is not counted. ``marks`` has the delimiter before each piece but the first. With nothing
+    learned (``total`` 0) all cuttings are alike.
+    """
+    out = []
+    for s in spans:
+        i, j = s["i"], s["j"]
+        if not total:
+            out.append((i, j, 1.0))
+            continue
+        p = max(s["c"] / total, UNKNOWN) if j - i == 1 else max(0.0, s["c"] - 1) / total + UNKNOWN * INSIDE ** (j - i - 1)
+        for d in marks[i : j - 1]:
+            p *= 1 - cuts.get(d, CUT)
+        if j - 1 < len(marks):
+            p *= cuts.get(marks[j - 1], CUT)
+        out.append((i, j, p))
+    return out
 
 
 def expected_counts(n: int, spans: list[tuple[int, int, float]]) -> list[float]:
     """Posterior probability of each span being a value of the text (forward-backward over the lattice of ``n`` pieces)."""
-    ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    for i, j, w in sorted(spans):
-        ahead[j] += ahead[i] * w
-    for i, j, w in sorted(spans, reverse=True):
-        back[i] += back[j] * w
-    return [ahead[i] * w * back[j] / ahead[n] if ahead[n] else 0.0 for i, j, w in spans]
+    nothing = -math.inf
+    ahead, back = [0.0] + [nothing] * n, [nothing] * n + [0.0]  # logarithms: long texts have no room in a float
+    logs = [(i, j, math.log(w) if w > 0 else nothing) for i, j, w in spans]
+    for i, j, w in sorted(logs):
+        ahead[j] = _log_add(ahead[j], ahead[i] + w)
+    for i, j, w in sorted(logs, reverse=True):
+        back[i] = _log_add(back[i], back[j] + w)
+    return [math.exp(ahead[i] + w + back[j] - ahead[n]) if ahead[n] > nothing else 0.0 for i, j, w in logs]
+
+
+def _log_add(a: float, b: float) -> float:
+    high, low = (a, b) if a >= b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 def best_cutting(n: int, spans: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
@@ -172,6 +195,11 @@ def best_cutting(n: int, spans: list[tuple[int, int, float]]) -> list[tuple[int,
     return out[::-1]
 
 
+def marks_of(parts: list[tuple[str, str]]) -> str:
+    """One sign for each delimiter between pieces."""
+    return "".join(d[0] for d, _ in parts[1:])
+
+
 def _lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Segments of each distinct text. JSON lists are certain already and only feed the counts."""
     for b in batches:
@@ -179,29 +207,42 @@ def _lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for sid, field, text, n in b.itertuples(index=False):
             items = json_items(text)
             if items is not None:
-                out += [(sid, field, n, len(items), i, i + 1, value_key(clean_value(x)), True) for i, x in enumerate(items)]
+                out += [(sid, field, n, len(items), i, i + 1, value_key(clean_value(x)), None) for i, x in enumerate(items)]
             else:
                 parts = pieces(text)
-                out += [(sid, field, n, len(parts), i, j, value_key(v), False) for i, j, v in segments(parts)]
-        yield pd.DataFrame(out, columns=["sid", "field", "n", "size", "i", "j", "key", "sure"])
+                marks = marks_of(parts)
+                out += [(sid, field, n, len(parts), i, j, value_key(v), marks) for i, j, v in segments(parts)]
+        yield pd.DataFrame(out, columns=["sid", "field", "n", "size", "i", "j", "key", "marks"])
 
 
-_SPAN = "sid bigint, field string, n bigint, size int, i int, j int, key bigint, sure boolean"
+_SPAN = "sid bigint, field string, n bigint, size int, i int, j int, key bigint, marks string"
+_COUNT = "field string, key bigint, mark string, c double, n double"
 
 
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        sums: dict[tuple[str, int], float] = defaultdict(float)
-        for field, n, size, sure, total, spans in b.itertuples(index=False):
-            if sure:
-                for s in spans:
-                    sums[field, s["key"]] += n
-                continue
-            weights = [(s["i"], s["j"], _weight(s["c"], total, s["j"] - s["i"])) for s in spans]
-            for s, p in zip(spans, expected_counts(size, weights)):
-                if p > 1e-9:
-                    sums[field, s["key"]] += p * n
-        yield pd.DataFrame([(f, k, c) for (f, k), c in sums.items()], columns=["field", "key", "c"])
+def _estimate(cuts: dict[str, dict[str, float]]):
+    """Expected counts of a batch: of values (``key``) and of delimiters that cut among all (``mark``)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            values: dict[tuple[str, int], float] = defaultdict(float)
+            cut: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
+            for field, n, size, marks, total, spans in b.itertuples(index=False):
+                if marks is None:
+                    for s in spans:
+                        values[field, s["key"]] += n
+                    continue
+                weights = span_weights(spans, total, marks, cuts.get(field, {}))
+                for s, p in zip(spans, expected_counts(size, weights)):
+                    if p > 1e-9:
+                        values[field, s["key"]] += p * n
+                    if s["j"] < size:
+                        cut[field, marks[s["j"] - 1]][0] += p * n
+                for d in marks:
+                    cut[field, d][1] += n
+            rows = [(f, k, None, c, 0.0) for (f, k), c in values.items()] + [(f, None, d, c, n) for (f, d), (c, n) in cut.items()]
+            yield pd.DataFrame(rows, columns=["field", "key", "mark", "c", "n"]).astype({"key": "Int64"})
+
+    return run
 
 
 def _looked_up(spans: DataFrame, model: DataFrame | None) -> DataFrame:
@@ -212,34 +253,39 @@ def _looked_up(spans: DataFrame, model: DataFrame | None) -> DataFrame:
         totals = F.broadcast(model.groupBy("field").agg(F.sum("c").alias("total")))  # one row per packed column
         known = spans.join(model, ["field", "key"], "left").join(totals, "field", "left").fillna(0.0, ["c", "total"])
     return known.groupBy("sid", "field").agg(
-        F.first("n").alias("n"), F.first("size").alias("size"), F.first("sure").alias("sure"), F.first("total").alias("total"), F.collect_list(F.struct("i", "j", "key", "c")).alias("spans")
+        F.first("n").alias("n"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("total").alias("total"), F.collect_list(F.struct("i", "j", "c", "key")).alias("spans")
     )
 
 
-def learn_values(spans: DataFrame, rounds: int = 2) -> DataFrame:
-    """``field, key, c``: expected number of occurrences of each value after ``rounds`` of EM over all texts."""
-    model = None
+def learn_values(spans: DataFrame, rounds: int = 3) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+    """(``field, key, c``: expected occurrences of each value, probability of a cut by field and delimiter) after ``rounds`` of EM over all texts."""
+    model, cuts = None, {}
     for _ in range(rounds):
-        per_text = _looked_up(spans, model).select("field", "n", "size", "sure", "total", "spans")
-        counts = per_text.mapInPandas(_estimate, "field string, key bigint, c double")
-        model = cut_lineage(counts.groupBy("field", "key").agg(F.sum("c").alias("c")))
-    return model
-
-
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for sid, text, size, total, spans in b.itertuples(index=False):
-            items = json_items(text)
-            if items is None:
-                parts = pieces(text)
-                weights = [(s["i"], s["j"], _weight(s["c"], total, s["j"] - s["i"])) for s in spans]
-                items = []
-                for i, j in best_cutting(size, weights):
-                    whole = parts[i][1] + "".join(f" {d} {p}" for d, p in parts[i + 1 : j])
-                    items.append(clean_value(whole))
-            out.append((sid, items))
-        yield pd.DataFrame(out, columns=["sid", "items"])
+        per_text = _looked_up(spans, model).select("field", "n", "size", "marks", "total", "spans")
+        counts = cut_lineage(per_text.mapInPandas(_estimate(cuts), _COUNT).groupBy("field", "key", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
+        model = counts.filter("mark is null").select("field", "key", "c")
+        cuts = {}
+        for r in counts.filter("mark is not null").collect():  # one row per column and kind of delimiter
+            cuts.setdefault(r["field"], {})[r["mark"]] = (r["c"] + CUT * CUT_WEIGHT) / (r["n"] + CUT_WEIGHT)
+    return model, cuts
+
+
+def _cut(cuts: dict[str, dict[str, float]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for sid, field, text, size, total, spans in b.itertuples(index=False):
+                items = json_items(text)
+                if items is None:
+                    parts = pieces(text)
+                    items = []
+                    for i, j in best_cutting(size, span_weights(spans, total, marks_of(parts), cuts.get(field, {}))):
+                        whole = parts[i][1] + "".join(f" {d} {p}" for d, p in parts[i + 1 : j])
+                        items.append(clean_value(whole))
+                out.append((sid, items))
+            yield pd.DataFrame(out, columns=["sid", "items"])
+
+    return run
 
 
 def distinct_texts(columns: list[tuple[str, DataFrame, Column]]) -> DataFrame:
@@ -252,7 +298,7 @@ def distinct_texts(columns: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     return counts.withColumn("sid", F.xxhash64("field", "text"))
 
 
-def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds: int = 2) -> DataFrame:
+def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds: int = 3) -> DataFrame:
     """``field, row_id, item_no, value``: one row per value, numbered from 1 in order.
 
     ``columns``: name of the field, its table, its id column, its text column. Each field has its own
@@ -260,9 +306,9 @@ def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds:
     """
     texts = cut_lineage(distinct_texts([(name, df, text) for name, df, _, text in columns]))
     spans = cut_lineage(texts.select("sid", "field", "text", "n").mapInPandas(_lattice, _SPAN))
-    model = learn_values(spans, rounds)
+    model, chances = learn_values(spans, rounds)
     known = _looked_up(spans, model).select("sid", "size", "total", "spans")
-    cuts = texts.join(known, "sid").select("sid", "text", "size", "total", "spans").mapInPandas(_cut, "sid bigint, items array<string>")
+    cuts = texts.join(known, "sid").select("sid", "field", "text", "size", "total", "spans").mapInPandas(_cut(chances), "sid bigint, items array<string>")
     cuts = texts.select("sid", "field", "text").join(cuts, "sid")
     rows = None
     for name, df, rid, text in columns:
