@@ -33,6 +33,8 @@ CLOSERS = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "(":
 MAX_PIECES = 4
 #: Probability of a value that the column doesn't know, and the factor for each delimiter inside it.
 UNKNOWN, INSIDE = 1e-2, 1e-7
+#: Least occurrences of a value with delimiters inside for it to be considered at all.
+LEAST_WHOLE = 3
 #: Prior of a candidate delimiter being a cut, and the number of delimiters it counts for.
 CUT, CUT_WEIGHT = 0.9, 20.0
 
@@ -145,15 +147,11 @@ def span_weights(spans: list, total: float, marks: str, cuts: dict[str, float])
 
     The weight is the probability of the value, times that of its inner delimiters being no cuts and of
     the one after it being one. A value with delimiters inside is known from other rows only, so one
-    occurrence is not counted. ``marks`` has the delimiter before each piece but the first. With nothing
-    learned (``total`` 0) all cuttings are alike.
+    occurrence is not counted. ``marks`` has the delimiter before each piece but the first.
     """
     out = []
     for s in spans:
         i, j = s["i"], s["j"]
-        if not total:
-            out.append((i, j, 1.0))
-            continue
         p = max(s["c"] / total, UNKNOWN) if j - i == 1 else max(0.0, s["c"] - 1) / total + UNKNOWN * INSIDE ** (j - i - 1)
         for d in marks[i : j - 1]:
             p *= 1 - cuts.get(d, CUT)
@@ -163,6 +161,24 @@ def span_weights(spans: list, total: float, marks: str, cuts: dict[str, float])
     return out
 
 
+def cohesion_weights(spans: list) -> list[tuple[int, int, float]]:
+    """First weights of spans from raw occurrences ``c``: 1 for a piece, and for more pieces how exclusively they occur together.
+
+    ``c(whole)^m / product of c(piece)`` over the ``m`` pieces is 1 if none is ever seen without the
+    others, and falls fast with every other neighbour it has.
+    """
+    alone = {s["i"]: s["c"] for s in spans if s["j"] - s["i"] == 1}
+    out = []
+    for s in spans:
+        i, j, w = s["i"], s["j"], 1.0
+        if j - i > 1:
+            for k in range(i, j):
+                w *= s["c"] / alone[k]
+            w = w**4 if s["c"] >= LEAST_WHOLE else 0.0
+        out.append((i, j, w))
+    return out
+
+
 def expected_counts(n: int, spans: list[tuple[int, int, float]]) -> list[float]:
     """Posterior probability of each span being a value of the text (forward-backward over the lattice of ``n`` pieces)."""
     nothing = -math.inf
@@ -219,8 +235,11 @@ _SPAN = "sid bigint, field string, n bigint, size int, i int, j int, key bigint,
 _COUNT = "field string, key bigint, mark string, c double, n double"
 
 
-def _estimate(cuts: dict[str, dict[str, float]]):
-    """Expected counts of a batch: of values (``key``) and of delimiters that cut among all (``mark``)."""
+def _estimate(step: int, cuts: dict[str, dict[str, float]]):
+    """Counts of a batch: of values (``key``) and of delimiters that cut among all (``mark``).
+
+    Raw occurrences of all spans in step 0, then expected ones, first by cohesion and then by the model.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -231,16 +250,23 @@ def _estimate(cuts: dict[str, dict[str, float]]):
                     for s in spans:
                         values[field, s["key"]] += n
                     continue
-                weights = span_weights(spans, total, marks, cuts.get(field, {}))
-                for s, p in zip(spans, expected_counts(size, weights)):
+                weights = cohesion_weights(spans) if step == 1 else span_weights(spans, total, marks, cuts.get(field, {})) if step else []
+                for s, p in zip(spans, expected_counts(size, weights) if step else [1.0] * len(spans)):
                     if p > 1e-9:
                         values[field, s["key"]] += p * n
                     if s["j"] < size:
                         cut[field, marks[s["j"] - 1]][0] += p * n
                 for d in marks:
                     cut[field, d][1] += n
-            rows = [(f, k, None, c, 0.0) for (f, k), c in values.items()] + [(f, None, d, c, n) for (f, d), (c, n) in cut.items()]
-            yield pd.DataFrame(rows, columns=["field", "key", "mark", "c", "n"]).astype({"key": "Int64"})
+            yield pd.DataFrame(
+                {
+                    "field": [*(f for f, _ in values), *(f for f, _ in cut)],
+                    "key": pd.array([*(k for _, k in values), *(None for _ in cut)], "Int64"),  # keys don't fit into a float
+                    "mark": [*(None for _ in values), *(d for _, d in cut)],
+                    "c": [*values.values(), *(c for c, _ in cut.values())],
+                    "n": [*(0.0 for _ in values), *(float(n) for _, n in cut.values())],
+                }
+            )
 
     return run
 
@@ -260,9 +286,9 @@ def _looked_up(spans: DataFrame, model: DataFrame | None) -> DataFrame:
 def learn_values(spans: DataFrame, rounds: int = 3) -> tuple[DataFrame, dict[str, dict[str, float]]]:
     """(``field, key, c``: expected occurrences of each value, probability of a cut by field and delimiter) after ``rounds`` of EM over all texts."""
     model, cuts = None, {}
-    for _ in range(rounds):
+    for step in range(rounds + 1):
         per_text = _looked_up(spans, model).select("field", "n", "size", "marks", "total", "spans")
-        counts = cut_lineage(per_text.mapInPandas(_estimate(cuts), _COUNT).groupBy("field", "key", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
+        counts = cut_lineage(per_text.mapInPandas(_estimate(step, cuts), _COUNT).groupBy("field", "key", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
         model = counts.filter("mark is null").select("field", "key", "c")
         cuts = {}
         for r in counts.filter("mark is not null").collect():  # one row per column and kind of delimiter

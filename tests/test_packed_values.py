@@ -55,9 +55,9 @@ def test_very_long_text(spark):
 
 
 def test_a_value_that_the_column_knows_whole_stays_uncut(spark):
-    texts = ["Khoa / Phòng"] * 60 + ["Khoa / Phòng; Đơn"] * 5 + ["Đơn; Thẻ"] * 20
+    texts = ["Khoa / Phòng"] * 60 + ["Khoa / Phòng; Đơn"] * 5 + [f"{a}; {b}" for a in ("Đơn", "Thẻ", "Sổ") for b in ("Ảnh", "Bản", "Học bạ")] * 9
     got = split(spark, texts)
-    assert got[0] == ["Khoa / Phòng"] and got[60] == ["Khoa / Phòng", "Đơn"] and got[65] == ["Đơn", "Thẻ"]
+    assert got[0] == ["Khoa / Phòng"] and got[60] == ["Khoa / Phòng", "Đơn"] and got[65] == ["Đơn", "Ảnh"]
 
 
 @pytest.mark.parametrize("seed", range(6))
