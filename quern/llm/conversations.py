@@ -70,15 +70,16 @@ def clock_offsets(rows: DataFrame, horizon_s: float = 3600.0, evidence: int = 10
     For every question and the reply that arrived next, gap + offset(reply) - offset(question) >= 0 must
     hold. A pair of senders takes part with its violated constraints if these are more than half of at
     least ``evidence`` ones (a clock that is off violates most constraints, a late row only its own);
-    gaps beyond ``horizon_s`` are late rows. Least squares over the pairs gives the offsets, with their
-    weighted sum at zero. Senders are the known spellings of roles, so what is collected is bounded.
+    gaps beyond ``horizon_s`` are late rows. Each pair asks for its mean violated gap to be met with two
+    standard deviations to spare; least squares over the pairs gives the offsets, with their sum at zero.
+    Senders are the known spellings of roles, so what is collected is bounded.
     """
     known = rows.filter("role in ('user', 'assistant') and at is not null and id is not null").select("conversation_id", "id", "at", "role", "sender")
     pairs = lag_rows(fragment(known, ["conversation_id"], ["id"]), ["conversation_id"], ["id"], F.struct("sender", "role", "at"), "q")
     pairs = pairs.filter("role = 'assistant' and q.role = 'user'").withColumn("gap", F.expr("timestampdiff(MICROSECOND, q.at, at) / 1e6"))
-    near = pairs.filter(F.abs("gap") <= horizon_s)
+    near = pairs.filter(F.abs("gap") <= horizon_s).withColumn("late", F.when(F.col("gap") < 0, F.col("gap")))
     sums = near.groupBy(F.col("q.sender").alias("a"), F.col("sender").alias("b")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("gap") < 0).alias("bad"), F.avg(F.when(F.col("gap") < 0, F.col("gap"))).alias("mean")
+        F.count("*").alias("n"), F.count_if(F.col("gap") < 0).alias("bad"), (F.avg("late") - 2 * F.coalesce(F.stddev_pop("late"), F.lit(0.0))).alias("mean")
     )
     return solve_offsets([tuple(r) for r in sums.collect() if r["n"] >= evidence and r["bad"] > r["n"] / 2])
 

@@ -60,7 +60,7 @@ def prototype(c: str) -> str:
 @lru_cache(maxsize=1 << 16)
 def _unstyled(c: str) -> str:
     how = unicodedata.decomposition(c)
-    if how.startswith(_STYLES) or (how.startswith("<compat>") and unicodedata.category(c).startswith("L")):
+    if how.startswith(_STYLES) or (how.startswith("<compat>") and c > "ž" and unicodedata.category(c).startswith("L")):
         return unicodedata.normalize("NFKC", c)
     return c
 
