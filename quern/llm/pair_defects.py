@@ -177,7 +177,8 @@ def copies(prompt: str, response: str, least: int = 2, share: float = 0.7) -> bo
         asks_at = asking(sentence, said)
         hit = covered(automaton.runs(said), min(least, len(asked)))
         if k == 0 and (m := re.match(r"^[^:“\"«]{0,60}?[:“\"«]\s*", sentence)) and 0 < (lead := len(words(m.group()))) < len(said) and not any(hit[:lead][:2]):
-            said, hit, asks_at = said[lead:], hit[lead:], asks_at[lead:]
+            said, hit = said[lead:], hit[lead:]
+            asks_at = asking(sentence[m.end() :], said)
         n = sum(hit)
         asks = any(q and h for q, h in zip(asks_at, hit))
         new_number = any(not h and any(c.isdigit() for c in w) and w not in asked for w, h in zip(said, hit))
@@ -295,7 +296,7 @@ def _dangles(said: list[str]) -> bool:
     last = said[-1]
     if len(last) == 1 and last.isupper():  # a room or hall, unless nothing says so
         return len(said) > 1 and fold(said[-2]) not in _PLACES
-    return last in _DANGLING or (last.isalpha() and last.islower() and len(last) <= 3 and not re.search("[aeiouyà-ỹ]", last.replace("đ", "d")))
+    return last in _DANGLING or (last.isalpha() and (last[1:] or last).islower() and len(last) <= 3 and not re.search("[aeiouyà-ỹ]", last.lower().replace("đ", "d")))
 
 
 def defect(prompt: str | None, response: str | None) -> str | None:

@@ -76,12 +76,16 @@ def _is_emoji(c: str) -> bool:
 
 def _plain_word(m: re.Match) -> str:
     word = m.group()
-    if word.isascii() or not any(ord(c) in PROTOTYPES for c in word):
+    if word.isascii():
         return word
-    other = [c for c in word if c.isalpha() and not unicodedata.name(c, "").startswith("LATIN")]
-    if len(other) == sum(map(str.isalpha, word)) or any(ord(c) not in PROTOTYPES for c in other):
+    letters = unicodedata.normalize("NFD", word)  # a look-alike may have been composed with an accent
+    if not any(ord(c) in PROTOTYPES for c in letters):
         return word
-    return word.translate(PROTOTYPES)
+    bases = [c for c in letters if c.isalpha()]
+    other = [c for c in bases if not unicodedata.name(c, "").startswith("LATIN")]
+    if len(other) == len(bases) or any(ord(c) not in PROTOTYPES for c in other):
+        return word
+    return unicodedata.normalize("NFC", letters.translate(PROTOTYPES))
 
 
 def plain_form(text: str) -> str:

@@ -14,6 +14,7 @@ DISGUISED = [
     ("Нạn cuối nộp hồ sơ ở đâu, саn", "Hạn cuối nộp hồ sơ ở đâu, can"),
     ("boоk a fеe", "book a fee"),
     ("tu\u00adition", "tuition"),
+    ("phὸng giό", "phòng gió"),
     ("\u00a0", " "),
     ("\u200b", ""),
     ("５０ ① ﬁle", "50 1 file"),
