@@ -154,6 +154,13 @@ def disclosure(statistics: DataFrame, rate: float) -> DataFrame:
 # -- mentions in one text --------------------------------------------------------------------------
 
 
+def _bridges(text: str, tokens: list, j: int) -> bool:
+    """Whether a common word is the middle of a capitalised name: between two telling capitalised words."""
+    if j + 1 >= len(tokens) or tokens[j + 1][2] < WORD_BITS or text[tokens[j][1] : tokens[j + 1][0]] != " ":
+        return False
+    return all(tokens[k][3][0].isupper() for k in (j - 1, j, j + 1))
+
+
 def _name_spans(text: str, bits: dict[str, float]) -> list[tuple[int, int]]:
     out = []
     tokens = [(m.start(), m.end(), bits.get(m.group().lower(), -1.0), m.group()) for m in _WORDS.finditer(text)]
@@ -164,16 +171,20 @@ def _name_spans(text: str, bits: dict[str, float]) -> list[tuple[int, int]]:
             i += 1
             continue
         j = i + 1
-        while j < len(tokens) and j - i < 5 and tokens[j][2] >= WORD_BITS and text[tokens[j - 1][1] : tokens[j][0]] == " ":
+        while j < len(tokens) and j - i < 5 and text[tokens[j - 1][1] : tokens[j][0]] == " ":
+            if tokens[j][2] < WORD_BITS and not _bridges(text, tokens, j):
+                break
             j += 1
         run = tokens[i:j]
         start = run[0][0]
-        mean = sum(t[2] for t in run) / len(run)
+        telling = [t[2] for t in run if t[2] >= WORD_BITS]
+        mean = sum(telling) / len(telling)
         lead = start in cued or bool(_ADDRESSED.search(text[max(0, start - 24) : start]))
         cased = all(t[3][0].isupper() for t in run)
         if cased and j < len(tokens) and len(run) in (2, 3) and tokens[j][3][0].isupper() and text[tokens[j - 1][1] : tokens[j][0]] == " " and (lead or tokens[j][2] > 0):
             run, j = [*run, tokens[j]], j + 1  # a rare last word of a name
-        if len(run) > 1 and mean >= (CUED_BITS if lead else ALONE_BITS) and (cased or lead or mean >= ALONE_BITS + 1):
+            telling.append(WORD_BITS if lead else 0.0)
+        if len(telling) > 1 and mean >= (CUED_BITS if lead else ALONE_BITS) and (cased or lead or mean >= ALONE_BITS + 1):
             out.append((start, run[-1][1]))
         i = j
     return out
@@ -217,7 +228,7 @@ def redact(text: str, bits: dict[str, float]) -> str:
 @lru_cache(maxsize=2)
 def _maybe_name(words: tuple[str, ...]) -> str:
     any_word = "|".join(re.escape(w) for w in words)
-    return rf"(?i)(?:^|[^\p{{L}}])(?:{any_word}) (?:{any_word})(?:[^\p{{L}}]|$)"
+    return rf"(?i)(?:^|[^\p{{L}}])(?:{any_word}) (?:\p{{L}}+ )?(?:{any_word})(?:[^\p{{L}}]|$)"
 
 
 def _candidates(texts: pa.Array, words: tuple[str, ...] | None) -> pa.Array:

@@ -29,6 +29,7 @@ _LOOKALIKES = (
     ("αικνορυχγϲϳ", "aikvopuxycj"),  # Greek small letters
     ("օոսհցՕՍԼ", "onuhgOUL"),  # Armenian
     ("ɑɡɩʀꞵ", "agiRb"),  # phonetic letters
+    ("ÐƉ", "ĐĐ"),  # other Latin alphabets' letters for Vietnamese Đ
 )
 PROTOTYPES = {ord(a): b for odd, plain in _LOOKALIKES for a, b in zip(odd, plain, strict=True)}
 # Kinds of compatibility decomposition whose characters are styled forms of ordinary ones.
@@ -37,7 +38,7 @@ _STYLES = ("<font>", "<wide>", "<narrow>", "<circle>", "<small>", "<square>", "<
 _UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 
 #: A text of these characters alone, nothing combining, is its own plain form and skeleton.
-SUSPECT = "[^\\t\\n\\r\\x20-\\x7E\\u00A1-\\u00A9\\u00AB\\u00AC\\u00AE-\\u017E\\u0180-\\u01C3\\u01CD-\\u01F0\\u01F4-\\u0250\\u1E00-\\u1E99\\u1EA0-\\u1EF9\\u2010\\u2012-\\u2027\\u2030-\\u205E\\u20A0-\\u20BF]"
+SUSPECT = "[^\\t\\n\\r\\x20-\\x7E\\u00A1-\\u00A9\\u00AB\\u00AC\\u00AE-\\u00CF\\u00D1-\\u017E\\u0180-\\u0188\\u018A-\\u01C3\\u01CD-\\u01F0\\u01F4-\\u0250\\u1E00-\\u1E99\\u1EA0-\\u1EF9\\u2010\\u2012-\\u2027\\u2030-\\u205E\\u20A0-\\u20BF]"
 _WORD = re.compile(r"(?:[^\W\d_]|[̀-ͯ])+")
 _EMOJI_JOIN = "‍"
 
@@ -83,7 +84,7 @@ def _plain_word(m: re.Match) -> str:
         return word
     bases = [c for c in letters if c.isalpha()]
     other = [c for c in bases if not unicodedata.name(c, "").startswith("LATIN")]
-    if len(other) == len(bases) or any(ord(c) not in PROTOTYPES for c in other):
+    if len(other) == len(bases) or any(ord(c) not in PROTOTYPES for c in other) or any(c in "þðæÞÆ" for c in bases):
         return word
     return unicodedata.normalize("NFC", letters.translate(PROTOTYPES))
 

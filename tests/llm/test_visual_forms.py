@@ -15,11 +15,12 @@ DISGUISED = [
     ("boоk a fеe", "book a fee"),
     ("tu\u00adition", "tuition"),
     ("phὸng giό", "phòng gió"),
+    ("Ðề án Ɖịa tin, 9 Ð. Lò Rèn", "Đề án Địa tin, 9 Đ. Lò Rèn"),
     ("\u00a0", " "),
     ("\u200b", ""),
     ("５０ ① ﬁle", "50 1 file"),
 ]
-PLAIN = ["", "Học phí là 5 đồng", "«русский язык»", "Hệ số α của môn", "“ngoặc” – gạch…", "👩\u200d🎓 ok", "a\tb\nc", "kΩ và μm", "Straße naïve €5 §2", "❤️ nhé"]
+PLAIN = ["", "Học phí là 5 đồng", "«русский язык»", "Hệ số α của môn", "“ngoặc” – gạch…", "👩\u200d🎓 ok", "a\tb\nc", "kΩ và μm", "Straße naïve €5 §2", "Ðæð", "❤️ nhé"]
 
 
 @pytest.mark.parametrize("text,plain", DISGUISED)
