@@ -20,10 +20,13 @@ import json
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ SKETCH = 8
 KINDS = ("text", "number", "boolean", "list")
 _PERMUTE = [(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1), 0xD1B54A32D192ED03 * (i + 3) & (2**64 - 1)) for i in range(SKETCH)]
 _FIELD = "array<struct<key:string,header:string>>"
-_PROFILE = ", ".join([*(f"n_{k} bigint" for k in KINDS), *(f"s{i} bigint" for i in range(SKETCH))])
+_STATS = [*(f"n_{k}" for k in KINDS), *(f"s{i}" for i in range(SKETCH))]
 
 
 def fold_header(text: str) -> str:
@@ -87,30 +90,38 @@ def readable_jobs(jobs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_parse_jobs, f"id string, domain string, at timestamp, fields {_FIELD}")
 
 
-def sketch_values(hashes: list[int]) -> list[int]:
-    """Smallest image of the hashes under each of the fixed permutations, as signed 64-bit numbers."""
-    x = np.array(hashes, dtype=np.uint64)
+def sketch_values(groups: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` groups the smallest image of its hashes under each of the fixed permutations, as signed numbers."""
+    out = np.full((n, SKETCH), np.iinfo(np.int64).max)
+    x = hashes.astype(np.uint64)
     with np.errstate(over="ignore"):
-        return [int((x * np.uint64(a) + np.uint64(b)).min().astype(np.int64)) for a, b in _PERMUTE]
+        for i, (a, b) in enumerate(_PERMUTE):
+            np.minimum.at(out[:, i], groups, (x * np.uint64(a) + np.uint64(b)).view(np.int64))
+    return out
 
 
-def _profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     folded: dict[str, str] = {}
     for b in batches:
-        counts: dict[tuple[str, str], list[int]] = {}
-        values: dict[tuple[str, str], list[int]] = {}
-        for job, body in zip(b["job_id"], b["body"]):
+        group_of: dict[tuple[str, str], int] = {}
+        groups, kinds, hashes = [], [], []
+        for job, body in zip(b.column("job_id").to_pylist(), b.column("body").to_pylist()):
             for header, value in read_body(body).items():
                 if (kind := value_kind(value)) is None:
                     continue
                 h = folded.get(header)
                 if h is None:
                     h = folded[header] = fold_header(header)
-                n = counts.setdefault((job, h), [0] * len(KINDS))
-                n[KINDS.index(kind)] += 1
-                values.setdefault((job, h), []).append(xxhash.xxh64_intdigest(value if isinstance(value, str) else json.dumps(value)))
-        rows = [(job, h, *n, *sketch_values(values[job, h])) for (job, h), n in counts.items()]
-        yield pd.DataFrame(rows, columns=["job_id", "header", *(f"n_{k}" for k in KINDS), *(f"s{i}" for i in range(SKETCH))])
+                groups.append(group_of.setdefault((job, h), len(group_of)))
+                kinds.append(KINDS.index(kind))
+                hashes.append(xxhash.xxh64_intdigest(value if isinstance(value, str) else json.dumps(value)))
+        n, at = len(group_of), np.array(groups, dtype=np.int64)
+        counts = np.zeros((n, len(KINDS)), dtype=np.int64)
+        np.add.at(counts, (at, np.array(kinds, dtype=np.int64)), 1)
+        sketches = sketch_values(at, np.array(hashes, dtype=np.uint64), n)
+        columns = [pa.array([j for j, _ in group_of], pa.string()), pa.array([h for _, h in group_of], pa.string())]
+        columns += [pa.array(np.ascontiguousarray(x)) for x in (*counts.T, *sketches.T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["job_id", "header", *_STATS])
 
 
 def column_profiles(records: DataFrame) -> DataFrame:
@@ -120,24 +131,24 @@ def column_profiles(records: DataFrame) -> DataFrame:
     rows for each of its columns to the one task that adds them up.
     """
     rows = records.select("row_id", "job_id", "body").filter("job_id is not null").dropDuplicates(["row_id"])
-    parts = rows.select("job_id", "body").mapInPandas(_profile_batches, f"job_id string, header string, {_PROFILE}")
+    parts = rows.select("job_id", "body").mapInArrow(_profile_batches, "job_id string, header string, " + ", ".join(f"{c} bigint" for c in _STATS))
     sums = [F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS]
     return parts.groupBy("job_id", "header").agg(*sums, *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
 
 
-def _tokens(name: str) -> set[str]:
+@lru_cache(maxsize=1 << 14)
+def _tokens(name: str) -> frozenset[str]:
     plain = "".join(c for c in unicodedata.normalize("NFD", name.casefold().replace("đ", "d")) if not unicodedata.combining(c))
-    return set(re.findall(r"[a-z0-9]+", plain))
+    return frozenset(re.findall(r"[a-z0-9]+", plain))
 
 
-def _overlap(a: set, b: set) -> float:
+def _overlap(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
-def main_kind(profile: dict | None) -> str | None:
+def main_kind(counts: list[int] | None) -> str | None:
     """The kind most values have; the first of KINDS on a tie."""
-    counts = [(profile or {}).get(f"n_{k}") or 0 for k in KINDS]
-    return KINDS[counts.index(max(counts))] if max(counts) else None
+    return KINDS[counts.index(max(counts))] if counts and max(counts) else None
 
 
 def similarity(a: dict, b: dict) -> float:
@@ -187,47 +198,64 @@ def assign(weights: list[list[float]]) -> list[int]:
 
 
 def match_fields(old: list[dict], new: list[dict], likeness: float) -> list[tuple[int, int]]:
-    """Pairs of positions in ``old`` and ``new`` that are one column. Without a shared key or header, a pair needs ``likeness``."""
-    if not old or not new:
-        return []
-    w = [[similarity(a, b) for b in new] for a in old]
-    return [(i, j) for i, j in enumerate(assign(w)) if j >= 0 and w[i][j] >= likeness]
+    """Pairs of positions in ``old`` and ``new`` that are one column. Without a shared key or header, a pair needs ``likeness``.
+
+    A column with key and header unchanged, neither of which another column has, is in every best
+    assignment: giving it up loses more than all other pairs of the two columns could gain.
+    """
+    def unique(side: list[dict]) -> dict[tuple[str, str], int]:
+        keys, headers = Counter(c["key"] for c in side), Counter(c["header"] for c in side)
+        return {(c["key"], c["header"]): i for i, c in enumerate(side) if keys[c["key"]] == 1 and headers[c["header"]] == 1}
+
+    a, b = unique(old), unique(new)
+    same = [(a[k], b[k]) for k in a.keys() & b.keys()]
+    rest_old, rest_new = sorted(set(range(len(old))) - {i for i, _ in same}), sorted(set(range(len(new))) - {j for _, j in same})
+    if rest_old and rest_new:
+        w = [[similarity(old[i], new[j]) for j in rest_new] for i in rest_old]
+        same += [(rest_old[i], rest_new[j]) for i, j in enumerate(assign(w)) if j >= 0 and w[i][j] >= likeness]
+    return same
 
 
-def _columns(fields: list, profiles: list | None) -> list[dict]:
-    by = {p["header"]: p for p in (profiles if profiles is not None else [])}
+def _columns(fields: list[dict], profiles: list[dict] | None) -> list[dict]:
+    by = {p["header"]: p["stats"] for p in profiles or []}
     out = []
     for f in fields:
-        h = fold_header(f["header"])
-        p = by.get(h)
-        out.append({"key": f["key"], "header": h, "raw": f["header"], "kind": main_kind(p), "sketch": [p[f"s{i}"] for i in range(SKETCH)] if p is not None else None})
+        stats = by.get(h := fold_header(f["header"]))
+        out.append({"key": f["key"], "header": h, "raw": f["header"], "kind": main_kind(stats and stats[: len(KINDS)]), "sketch": stats and stats[len(KINDS) :]})
     return out
 
 
+_CHANGE = ("domain", "previous_job_id", "job_id", "field_name", "change_kind", "old_value", "new_value", "old_field")
+
+
+def compare_jobs(domain: str, before: str, job: str, old: list[dict], new: list[dict], likeness: float) -> Iterator[tuple]:
+    """Rows of ``_CHANGE``: what became of each column between two jobs, with ``kept`` for columns without change."""
+    back = {j: i for i, j in match_fields(old, new, likeness)}
+    keys, headers = {c["key"] for c in old}, {c["header"] for c in old}
+    for j, c in enumerate(new):
+        o = old[back[j]] if j in back else None
+        exact = o is not None and (o["key"] == c["key"] or o["header"] == c["header"])
+        if exact and (o["key"] != c["key"] or o["header"] != c["header"]):
+            yield domain, before, job, c["key"], "renamed", f"{o['key']}: {o['raw']}", f"{c['key']}: {c['raw']}", o["key"]
+        elif c["key"] not in keys and c["header"] not in headers:
+            yield domain, before, job, c["key"], "added", o and f"{o['key']}: {o['raw']}", f"{c['key']}: {c['raw']}", o and o["key"]
+        elif exact:
+            yield domain, before, job, c["key"], "kept", None, None, o["key"]
+        if exact and o["kind"] and c["kind"] and o["kind"] != c["kind"]:
+            yield domain, before, job, c["key"], "type_changed", o["kind"], c["kind"], o["key"]
+    keys, headers = {c["key"] for c in new}, {c["header"] for c in new}
+    for c in old:
+        if c["key"] not in keys and c["header"] not in headers:
+            yield domain, before, job, c["key"], "removed", f"{c['key']}: {c['raw']}", None, c["key"]
+
+
 def _compare(likeness: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for r in b.itertuples(index=False):
-                new = _columns(r.fields, r.profiles)
-                old = _columns(r.before_fields, r.before_profiles)
-                pairs = match_fields(old, new, likeness)
-                back = {j: i for i, j in pairs}
-                keys, headers = {c["key"] for c in old}, {c["header"] for c in old}
-                for j, c in enumerate(new):
-                    o = old[back[j]] if j in back else None
-                    exact = o is not None and (o["key"] == c["key"] or o["header"] == c["header"])
-                    if exact and (o["key"] != c["key"] or o["header"] != c["header"]):
-                        out.append((r.domain, r.before, r.id, c["key"], "renamed", f"{o['key']}: {o['raw']}", f"{c['key']}: {c['raw']}", o["key"]))
-                    elif c["key"] not in keys and c["header"] not in headers:
-                        out.append((r.domain, r.before, r.id, c["key"], "added", o and f"{o['key']}: {o['raw']}", f"{c['key']}: {c['raw']}", o and o["key"]))
-                    elif exact:
-                        out.append((r.domain, r.before, r.id, c["key"], "kept", None, None, o["key"]))
-                    if exact and o["kind"] and c["kind"] and o["kind"] != c["kind"]:
-                        out.append((r.domain, r.before, r.id, c["key"], "type_changed", o["kind"], c["kind"], o["key"]))
-                keys, headers = {c["key"] for c in new}, {c["header"] for c in new}
-                out += [(r.domain, r.before, r.id, c["key"], "removed", f"{c['key']}: {c['raw']}", None, c["key"]) for c in old if c["key"] not in keys and c["header"] not in headers]
-            yield pd.DataFrame(out, columns=["domain", "previous_job_id", "job_id", "field_name", "change_kind", "old_value", "new_value", "old_field"])
+            for r in b.to_pylist():
+                out += compare_jobs(r["domain"], r["before"], r["id"], _columns(r["before_fields"], r["before_profiles"]), _columns(r["fields"], r["profiles"]), likeness)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(len(_CHANGE))], names=list(_CHANGE))
 
     return run
 
@@ -242,14 +270,13 @@ def drift(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -> tuple[
     """(all column matches and changes, readable jobs). ``likeness``: least similarity of a pair that shares neither key nor header."""
     read = cut_lineage(readable_jobs(jobs))
     stats = column_profiles(records)
-    packed = stats.groupBy("job_id").agg(F.collect_list(F.struct(*[c for c in stats.columns if c != "job_id"])).alias("profiles"))
+    packed = stats.groupBy("job_id").agg(F.collect_list(F.struct("header", F.array(*_STATS).alias("stats"))).alias("profiles"))
     sides = cut_lineage(read.join(packed, read.id == packed.job_id, "left").select("id", "fields", "profiles"))
     steps = job_sequence(read).filter("before is not null")
     new = sides.select("id", "fields", "profiles")
     old = sides.select(F.col("id").alias("before"), F.col("fields").alias("before_fields"), F.col("profiles").alias("before_profiles"))
     both = steps.join(new, "id").join(old, "before").select("domain", "before", "id", "fields", "profiles", "before_fields", "before_profiles")
-    schema = "domain string, previous_job_id string, job_id string, field_name string, change_kind string, old_value string, new_value string, old_field string"
-    return both.mapInPandas(_compare(likeness), schema), read
+    return both.mapInArrow(_compare(likeness), ", ".join(f"{c} string" for c in _CHANGE)), read
 
 
 def schema_changes(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -> DataFrame:
