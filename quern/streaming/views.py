@@ -36,8 +36,10 @@ def windowed_counts(events: DataFrame, ts: str, key: str, window: str = "1 hour"
 TURN_STATE = "events bigint, started boolean, ended boolean, failed boolean, answer string"
 
 
-def turn_status(events: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
-    """``request_id, status, answer`` of each turn once it ends: ok, error or, when it stays silent, incomplete.
+def turn_status(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
+    """``request_id, status, answer`` of each turn once it ends: ok, error or, when it stays silent for ``patience_ms``, incomplete.
+
+    Without patience an open turn stays in the state; a run over what is there now must not wait for it.
 
     ``events``: ``request_id, event, text``; ``event`` is start, chunk, error or end. The state of a turn is
     a few flags and the answer so far.
@@ -61,9 +63,11 @@ def turn_status(events: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
             yield pd.DataFrame([(key[0], "error" if failed else "ok", answer)], columns=["request_id", "status", "answer"])
         else:
             state.update((n, started, ended, failed, answer))
-            state.setTimeoutDuration(patience_ms)
+            if patience_ms is not None:
+                state.setTimeoutDuration(patience_ms)
 
-    return events.groupBy("request_id").applyInPandasWithState(step, "request_id string, status string, answer string", TURN_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if patience_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("request_id").applyInPandasWithState(step, "request_id string, status string, answer string", TURN_STATE, "append", timeout)
 
 
 def turn_status_batch(events: DataFrame) -> DataFrame:
