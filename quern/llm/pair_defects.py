@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,7 @@ STOPWORDS = {
     "de": "der die das und ist nicht ein eine für mit auf den dem zu im von sie werden sind bei oder nach muss wird",
 }
 STOPWORDS = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+_LANGUAGES_OF = {w: [k for k, v in STOPWORDS.items() if w in v] for w in frozenset().union(*STOPWORDS.values())}
 _SCRIPTS = (("zh", re.compile("[㐀-鿿豈-﫿]")), ("ja", re.compile("[぀-ヿ]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[Ѐ-ӿ]")), ("th", re.compile("[฀-๿]")), ("ar", re.compile("[؀-ۿ]")))
 _VIETNAMESE = re.compile("[ăâđêôơưĂÂĐÊÔƠƯạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủũứừửữựỳỵỷỹĩ]")
 
@@ -82,10 +84,14 @@ _PLACES = frozenset("phong nha sanh khu tang lop toa block room hall khoi day co
 _SYLLABLE = re.compile(r"(?:ngh|ng|nh|ch|gh|gi|kh|ph|qu|th|tr|[bcdghklmnpqrstvx])?[aeiouy]{1,3}(?:ch|ng|nh|[cmnpt])?$")
 
 
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
+
+
 def fold(text: str) -> str:
     """Lower case without accents, compatibility forms and invisible characters."""
-    text = unicodedata.normalize("NFKD", text.replace("Đ", "D").replace("đ", "d"))
-    return "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").casefold()
+    if text.isascii():
+        return text.casefold()
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text.replace("Đ", "D").replace("đ", "d"))).casefold()
 
 
 def words(text: str) -> list[str]:
@@ -169,11 +175,16 @@ def copies(prompt: str, response: str, least: int = 2, share: float = 0.7) -> bo
     asked = words(prompt)
     if not asked:
         return False
-    automaton, copied, any_asks = SuffixAutomaton(asked), 0, False
+    there = set(asked)
+    automaton, copied, any_asks, k = None, 0, False, -1
     wants = any(asking(prompt, asked))
-    parts = [s for s in _SENTENCES.split(response) if words(s)]
-    for k, sentence in enumerate(parts):
-        said = words(sentence)
+    for sentence in _SENTENCES.split(response):
+        if not (said := words(sentence)):
+            continue
+        k += 1
+        if k and sum(w in there for w in said) < 0.5 * len(said):  # more than half of its words are new
+            return False
+        automaton = automaton or SuffixAutomaton(asked)
         asks_at = asking(sentence, said)
         hit = covered(automaton.runs(said), min(least, len(asked)))
         if k == 0 and (m := re.match(r"^[^:“\"«]{0,60}?[:“\"«]\s*", sentence)) and 0 < (lead := len(words(m.group()))) < len(said) and not any(hit[:lead][:2]):
@@ -186,7 +197,7 @@ def copies(prompt: str, response: str, least: int = 2, share: float = 0.7) -> bo
             return False
         copied, any_asks = copied + n, any_asks or asks
     need = 0.4 if any_asks else 0.85
-    return bool(parts) and copied >= min(len(asked), max(3, need * min(len(asked), 14))) and (any_asks or not wants)
+    return k >= 0 and copied >= min(len(asked), max(3, need * min(len(asked), 14))) and (any_asks or not wants)
 
 
 @lru_cache(maxsize=1)
@@ -201,8 +212,10 @@ def _refusal_automaton() -> ahocorasick.Automaton:
 def refuses(response: str) -> bool:
     """Whether the response declines and says nothing else. A question back or an offer to search is no refusal."""
     seen = False
-    for sentence in (s for s in _SENTENCES.split(response) if words(s)):
+    for sentence in _SENTENCES.split(response):
         said = " ".join(words(_QUOTED.sub(" ", sentence)))
+        if not said and not words(sentence):
+            continue
         if sentence.rstrip().rstrip("\"”»").endswith(("?", "？")) or (_OFFER.search(said) and re.search(r"\b(?:dong y|co muon|shall i|may i|would you like|do you want|neu ban|if you)\b", said)):
             return False
         if len(said) < 240 and any(True for _ in _refusal_automaton().iter(f" {said} ")) and _SPEAKERS.search(said) and not any(c.isdigit() for c in said):
@@ -216,17 +229,16 @@ def language_votes(text: str) -> Counter:
     """Votes for languages: stopwords by occurrence, and letters of scripts that only few languages use."""
     votes: Counter = Counter()
     composed = unicodedata.normalize("NFKC", text)
-    for lang, script in _SCRIPTS:
+    for lang, script in _SCRIPTS if not composed.isascii() else ():
         if n := len(script.findall(composed)):
             votes[lang] += n if lang in ("zh", "ja", "th") else len(re.findall(script.pattern + "+", composed))
     accented = 0
     tokens = _WORDS.findall(composed.casefold())
-    for w in tokens:
-        for lang, stop in STOPWORDS.items():
-            if w in stop:
-                votes[lang] += 1
-        if _VIETNAMESE.search(w):
-            accented += 1
+    for w, n in Counter(tokens).items():
+        for lang in _LANGUAGES_OF.get(w, ()):
+            votes[lang] += n
+        if not w.isascii() and _VIETNAMESE.search(w):
+            accented += n
     votes["vi"] += accented
     plain = votes.pop("vi_plain", 0)
     letters = [w for w in tokens if w.isalpha()]
