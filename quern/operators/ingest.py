@@ -73,11 +73,12 @@ def content_ids(df: DataFrame, columns: list[str], order: list[str]) -> DataFram
     return ranked.withColumn("record_id", numbered).select(*df.columns, "record_id")
 
 
-def prepare(df: DataFrame, mapping: dict[str, str], primary: str, position: str, id_key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, report) of a source table whose 1-based file positions stand in ``position``.
+def prepare(df: DataFrame, mapping: dict[str, str], primary: str, position: str, id_key: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, report, skipped) of a source table whose 1-based file positions stand in ``position``.
 
     Records: ``record_id``, the mapped keys and ``raw_json`` with the whole row. Report, one row:
-    ``input_rows, indexed_rows, empty_rows, missing_primary_rows`` (their positions)``, unmapped_columns``.
+    ``input_rows, indexed_rows, empty_rows, missing_primary, unmapped_columns``. Skipped: the positions of the
+    rows without a primary entity, as a table since there may be many.
     """
     clean = cleaned(df, position)
     cols = [c for c in clean.columns if c != position]
@@ -90,7 +91,7 @@ def prepare(df: DataFrame, mapping: dict[str, str], primary: str, position: str,
         F.count("*").alias("input_rows"),
         F.count_if(~empty & ~lacks).alias("indexed_rows"),
         F.count_if(empty).alias("empty_rows"),
-        F.sort_array(F.collect_list(F.when(~empty & lacks, F.col(position)))).alias("missing_primary_rows"),
+        F.count_if(~empty & lacks).alias("missing_primary"),
     ).withColumn("unmapped_columns", F.array(*[F.lit(c) for c in cols if c not in headers.values()]).cast("array<string>"))
     usable = clean.filter(~empty & ~lacks)
     if usable.isEmpty():
@@ -103,7 +104,7 @@ def prepare(df: DataFrame, mapping: dict[str, str], primary: str, position: str,
     else:
         usable = content_ids(usable, cols, [position])
     raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]))
-    return usable.select("record_id", *[F.col(f"`{h}`").alias(k) for k, h in headers.items()], raw.alias("raw_json")), report
+    return usable.select("record_id", *[F.col(f"`{h}`").alias(k) for k, h in headers.items()], raw.alias("raw_json")), report, clean.filter(~empty & lacks).select(position)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

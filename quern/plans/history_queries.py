@@ -198,9 +198,9 @@ def set_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of each uploaded file put together again in order."""
-    rows = read_table(spark, sf, "raw_records").dropDuplicates(["row_id"])
-    return telemetry.join_chunks(rows.withColumn("at", F.struct("line_no", "row_id")), ["job_id"], "at", "body")
+    """Lines of each uploaded file put together again in order, by pages of 100 lines."""
+    rows = read_table(spark, sf, "raw_records").dropDuplicates(["row_id"]).withColumn("page", F.expr("cast(line_no as bigint) div 100"))
+    return telemetry.join_chunks(rows.withColumn("at", F.struct("line_no", "row_id")), ["job_id", "page"], "at", "body")
 
 
 def newest_errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +273,7 @@ ORACLES = {
     "rate_limit": "SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2",
     "set_checks": """WITH g AS (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) AS f FROM events GROUP BY ALL)
     SELECT user_id, count(*) FILTER (list_has_all(f, ['click', 'view'])) AS has_required, count(*) FILTER (list_has_all(f, ['click', 'view']) AND len(f) = 2) AS exact, count(*) FILTER (NOT list_contains(f, 'error')) AS none_forbidden FROM g GROUP BY 1""",
-    "stream_chunks": "WITH r AS (SELECT DISTINCT ON (row_id) * FROM raw_records) SELECT job_id, string_agg(body, '' ORDER BY line_no, row_id) AS content FROM r GROUP BY 1",
+    "stream_chunks": "WITH r AS (SELECT DISTINCT ON (row_id) * FROM raw_records) SELECT job_id, (line_no // 100)::BIGINT AS page, string_agg(body, '' ORDER BY line_no, row_id) AS content FROM r GROUP BY 1, 2",
     "newest_errors": "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))::INT AS back, event_id FROM events WHERE event_type = 'error' QUALIFY back <= 3",
     "user_totals": "SELECT user_id, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k_sum, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM events GROUP BY 1",
 }

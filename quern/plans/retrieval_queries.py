@@ -93,13 +93,13 @@ def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingest_records(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = ingest.prepare(_services(spark, sf), SERVICE, "service_name", "row_id")
+    rows, _, _ = ingest.prepare(_services(spark, sf), SERVICE, "service_name", "row_id")
     return rows.select(F.expr("split(record_id, ':')[1]").cast("bigint").alias("copy_no"), *SERVICE)
 
 
 def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
-    _, report = ingest.prepare(_services(spark, sf), SERVICE, "service_name", "row_id")
-    return report.select("input_rows", "indexed_rows", "empty_rows", F.size("missing_primary_rows").cast("bigint").alias("missing_primary"), F.size("unmapped_columns").cast("bigint").alias("unmapped"))
+    _, report, _ = ingest.prepare(_services(spark, sf), SERVICE, "service_name", "row_id")
+    return report.select("input_rows", "indexed_rows", "empty_rows", "missing_primary", F.size("unmapped_columns").cast("bigint").alias("unmapped"))
 
 
 def _services(spark: SparkSession, sf: str) -> DataFrame:

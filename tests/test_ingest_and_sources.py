@@ -40,12 +40,13 @@ def source(spark, rows):
 
 def test_prepare_skips_and_reports(spark):
     df = source(spark, [("1", " A ", "n", "", 2), ("", "", "", "", 3), ("2", "", "x", None, 4), ("1", "A", "n", "", 5), (None, "C", None, "", 6)])
-    records, report = ingest.prepare(df, MAP, "name", "position")
+    records, report, skipped = ingest.prepare(df, MAP, "name", "position")
     got = {r.name: r for r in records.collect()}
     assert sorted(r.record_id.split(":")[1] for r in records.collect() if r.name == "A") == ["1", "2"]
     assert json.loads(got["C"].raw_json) == {"MÃ": "", "tên  dịch vụ": "C", "note": ""}
     r = report.first()
-    assert (r.input_rows, r.indexed_rows, r.empty_rows, r.missing_primary_rows, r.unmapped_columns) == (5, 3, 1, [4], ["note"])
+    assert (r.input_rows, r.indexed_rows, r.empty_rows, r.missing_primary, r.unmapped_columns) == (5, 3, 1, 1, ["note"])
+    assert [x.position for x in skipped.collect()] == [4]
 
 
 def test_ids_survive_reordering(spark):
@@ -56,7 +57,7 @@ def test_ids_survive_reordering(spark):
 
 def test_whole_load_rules(spark):
     good = [("1", "A", "n", "", 2), ("2", "B", "n", "", 3)]
-    records, _ = ingest.prepare(source(spark, good), MAP, "name", "position", "code")
+    records, _, _ = ingest.prepare(source(spark, good), MAP, "name", "position", "code")
     assert {r.record_id for r in records.collect()} == {"1", "2"}
     for rows, mapping, key in (([("1", "A", "", "", 2), ("1", "B", "", "", 3)], MAP, "code"), ([("", "A", "", "", 2)], MAP, "code"), ([("1", "", "x", "", 2)], MAP, None), (good, {**MAP, "z": "Z"}, None), (good, {"record_id": "Mã", "name": "Tên dịch vụ"}, None)):
         with pytest.raises(ingest.IngestError):
