@@ -19,8 +19,9 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,61 +127,75 @@ def clean_value(piece: str) -> str:
     return v
 
 
-def value_key(value: str) -> int:
-    return xxhash.xxh64_intdigest(" ".join(value.casefold().split())) - 2**63
+def value_key(field: str, value: str) -> int:
+    return xxhash.xxh64_intdigest(f"{field}\n{' '.join(value.casefold().split())}") - 2**63
 
 
-def segments(parts: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
-    """(first piece, piece after the last, value) of every value the lattice allows."""
-    out = []
-    for i in range(len(parts)):
-        whole = parts[i][1]
-        out.append((i, i + 1, clean_value(whole)))
-        for j in range(i + 1, min(len(parts), i + MAX_PIECES)):
-            whole += f" {parts[j][0]} {parts[j][1]}"
-            out.append((i, j + 1, clean_value(whole)))
-    return out
+@lru_cache(maxsize=4096)
+def layout(size: int) -> tuple[tuple[int, int], ...]:
+    """(first piece, piece after the last) of every value that a lattice of ``size`` pieces allows, in a fixed order."""
+    return tuple((i, j) for i in range(size) for j in range(i + 1, min(size, i + MAX_PIECES) + 1))
+
+
+def segments(parts: list[tuple[str, str]]) -> list[str]:
+    """The values of a lattice in the order of ``layout``."""
+    return [value_of(parts, i, j) for i, j in layout(len(parts))]
+
+
+def value_of(parts: list[tuple[str, str]], i: int, j: int) -> str:
+    return clean_value(parts[i][1] + "".join(f" {d} {p}" for d, p in parts[i + 1 : j]))
 
 
-def span_weights(spans: list, total: float, marks: str, cuts: dict[str, float]) -> list[tuple[int, int, float]]:
-    """(first piece, piece after the last, weight) of spans ``i, j, c``.
+Spans = list[tuple[int, int, float]]
+
+
+def span_weights(size: int, counts: list[float], total: float, marks: str, cuts: dict[str, float]) -> Spans:
+    """(first piece, piece after the last, weight) of each span, whose values occur ``counts`` times among ``total``.
 
     The weight is the probability of the value, times that of its inner delimiters being no cuts and of
     the one after it being one. A value with delimiters inside is known from other rows only, so one
     occurrence is not counted. ``marks`` has the delimiter before each piece but the first.
     """
+    cut = [cuts.get(d, CUT) for d in marks]
     out = []
-    for s in spans:
-        i, j = s["i"], s["j"]
-        p = max(s["c"] / total, UNKNOWN) if j - i == 1 else max(0.0, s["c"] - 1) / total + UNKNOWN * INSIDE ** (j - i - 1)
-        for d in marks[i : j - 1]:
-            p *= 1 - cuts.get(d, CUT)
-        if j - 1 < len(marks):
-            p *= cuts.get(marks[j - 1], CUT)
+    for (i, j), c in zip(layout(size), counts):
+        p = max(c / total, UNKNOWN) if j - i == 1 else max(0.0, c - 1) / total + UNKNOWN * INSIDE ** (j - i - 1)
+        for k in range(i, j - 1):
+            p *= 1 - cut[k]
+        if j - 1 < len(cut):
+            p *= cut[j - 1]
         out.append((i, j, p))
     return out
 
 
-def cohesion_weights(spans: list) -> list[tuple[int, int, float]]:
-    """First weights of spans from raw occurrences ``c``: 1 for a piece, and for more pieces how exclusively they occur together.
+def cohesion_weights(size: int, counts: list[float]) -> Spans:
+    """First weights of spans from raw occurrences: 1 for a piece, and for more pieces how exclusively they occur together.
 
     ``c(whole)^m / product of c(piece)`` over the ``m`` pieces is 1 if none is ever seen without the
     others, and falls fast with every other neighbour it has.
     """
-    alone = {s["i"]: s["c"] for s in spans if s["j"] - s["i"] == 1}
+    alone = {i: c for (i, j), c in zip(layout(size), counts) if j - i == 1}
     out = []
-    for s in spans:
-        i, j, w = s["i"], s["j"], 1.0
+    for (i, j), c in zip(layout(size), counts):
+        w = 1.0
         if j - i > 1:
             for k in range(i, j):
-                w *= s["c"] / alone[k]
-            w = w**4 if s["c"] >= LEAST_WHOLE else 0.0
+                w *= c / alone[k]
+            w = w**4 if c >= LEAST_WHOLE else 0.0
         out.append((i, j, w))
     return out
 
 
-def expected_counts(n: int, spans: list[tuple[int, int, float]]) -> list[float]:
+def expected_counts(n: int, spans: Spans) -> list[float]:
     """Posterior probability of each span being a value of the text (forward-backward over the lattice of ``n`` pieces)."""
+    if n <= 8:
+        ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, w in sorted(spans):
+            ahead[j] += ahead[i] * w
+        for i, j, w in sorted(spans, reverse=True):
+            back[i] += back[j] * w
+        if ahead[n] > 1e-250:
+            return [ahead[i] * w * back[j] / ahead[n] for i, j, w in spans]
     nothing = -math.inf
     ahead, back = [0.0] + [nothing] * n, [nothing] * n + [0.0]  # logarithms: long texts have no room in a float
     logs = [(i, j, math.log(w) if w > 0 else nothing) for i, j, w in spans]
@@ -216,100 +231,101 @@ def marks_of(parts: list[tuple[str, str]]) -> str:
     return "".join(d[0] for d, _ in parts[1:])
 
 
-def _lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments of each distinct text. JSON lists are certain already and only feed the counts."""
+def _lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the values that each distinct text may hold. JSON lists are certain already: they have no marks and only their elements."""
     for b in batches:
-        out = []
-        for sid, field, text, n in b.itertuples(index=False):
+        fields, texts = b.column("field").to_pylist(), b.column("text").to_pylist()
+        sizes, marks, keys = [], [], []
+        for field, text in zip(fields, texts):
             items = json_items(text)
-            if items is not None:
-                out += [(sid, field, n, len(items), i, i + 1, value_key(clean_value(x)), None) for i, x in enumerate(items)]
-            else:
+            if items is None:
                 parts = pieces(text)
-                marks = marks_of(parts)
-                out += [(sid, field, n, len(parts), i, j, value_key(v), marks) for i, j, v in segments(parts)]
-        yield pd.DataFrame(out, columns=["sid", "field", "n", "size", "i", "j", "key", "marks"])
+                sizes.append(len(parts))
+                marks.append(marks_of(parts))
+                keys.append([value_key(field, v) for v in segments(parts)])
+            else:
+                sizes.append(len(items))
+                marks.append(None)
+                keys.append([value_key(field, clean_value(x)) for x in items])
+        columns = [b.column("sid"), b.column("field"), b.column("n"), pa.array(sizes, pa.int32()), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["sid", "field", "n", "size", "marks", "keys"])
 
 
-_SPAN = "sid bigint, field string, n bigint, size int, i int, j int, key bigint, marks string"
+_LATTICE = "sid bigint, field string, n bigint, size int, marks string, keys array<bigint>"
 _COUNT = "field string, key bigint, mark string, c double, n double"
 
 
-def _estimate(step: int, cuts: dict[str, dict[str, float]]):
+def _estimate(step: int, totals: dict[str, float], cuts: dict[str, dict[str, float]]):
     """Counts of a batch: of values (``key``) and of delimiters that cut among all (``mark``).
 
     Raw occurrences of all spans in step 0, then expected ones, first by cohesion and then by the model.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values: dict[tuple[str, int], float] = defaultdict(float)
             cut: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
-            for field, n, size, marks, total, spans in b.itertuples(index=False):
-                if marks is None:
-                    for s in spans:
-                        values[field, s["key"]] += n
+            for field, n, size, marks, keys, counts in zip(*(b.column(c).to_pylist() for c in ("field", "n", "size", "marks", "keys", "counts"))):
+                if marks is None or size == 1 or not step:
+                    for k in keys:
+                        values[field, k] += n
                     continue
-                weights = cohesion_weights(spans) if step == 1 else span_weights(spans, total, marks, cuts.get(field, {})) if step else []
-                for s, p in zip(spans, expected_counts(size, weights) if step else [1.0] * len(spans)):
+                weights = cohesion_weights(size, counts) if step == 1 else span_weights(size, counts, totals[field], marks, cuts.get(field, {}))
+                for k, (_, j), p in zip(keys, layout(size), expected_counts(size, weights)):
                     if p > 1e-9:
-                        values[field, s["key"]] += p * n
-                    if s["j"] < size:
-                        cut[field, marks[s["j"] - 1]][0] += p * n
+                        values[field, k] += p * n
+                        if j < size:
+                            cut[field, marks[j - 1]][0] += p * n
                 for d in marks:
                     cut[field, d][1] += n
-            yield pd.DataFrame(
-                {
-                    "field": [*(f for f, _ in values), *(f for f, _ in cut)],
-                    "key": pd.array([*(k for _, k in values), *(None for _ in cut)], "Int64"),  # keys don't fit into a float
-                    "mark": [*(None for _ in values), *(d for _, d in cut)],
-                    "c": [*values.values(), *(c for c, _ in cut.values())],
-                    "n": [*(0.0 for _ in values), *(float(n) for _, n in cut.values())],
-                }
-            )
+            columns = {
+                "field": pa.array([*(f for f, _ in values), *(f for f, _ in cut)], pa.string()),
+                "key": pa.array([*(k for _, k in values), *(None for _ in cut)], pa.int64()),
+                "mark": pa.array([*(None for _ in values), *(d for _, d in cut)], pa.string()),
+                "c": pa.array([*values.values(), *(c for c, _ in cut.values())], pa.float64()),
+                "n": pa.array([*(0.0 for _ in values), *(float(n) for _, n in cut.values())], pa.float64()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _looked_up(spans: DataFrame, model: DataFrame | None) -> DataFrame:
-    """One row per text with its spans and what the model knows of them."""
-    if model is None:
-        known = spans.withColumn("c", F.lit(0.0)).withColumn("total", F.lit(0.0))
-    else:
-        totals = F.broadcast(model.groupBy("field").agg(F.sum("c").alias("total")))  # one row per packed column
-        known = spans.join(model, ["field", "key"], "left").join(totals, "field", "left").fillna(0.0, ["c", "total"])
-    return known.groupBy("sid", "field").agg(
-        F.first("n").alias("n"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("total").alias("total"), F.collect_list(F.struct("i", "j", "c", "key")).alias("spans")
-    )
+def _looked_up(lattices: DataFrame, model: DataFrame) -> DataFrame:
+    """Lattices with what the model knows of their values (``counts``, in the order of ``keys``)."""
+    spans = lattices.select("sid", F.posexplode("keys").alias("pos", "key")).join(model.select("key", "c"), "key", "left")
+    known = spans.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("c", F.lit(0.0)).alias("c"))))["c"].alias("counts"))
+    return lattices.join(known, "sid")
 
 
-def learn_values(spans: DataFrame, rounds: int = 3) -> tuple[DataFrame, dict[str, dict[str, float]]]:
-    """(``field, key, c``: expected occurrences of each value, probability of a cut by field and delimiter) after ``rounds`` of EM over all texts."""
-    model, cuts = None, {}
+def learn_values(lattices: DataFrame, rounds: int = 3) -> tuple[DataFrame, dict[str, float], dict[str, dict[str, float]]]:
+    """(``key, c``: expected occurrences of each value, their sums by field, probability of a cut by field and delimiter) after ``rounds`` of EM over all texts."""
+    model, totals, cuts = None, {}, {}
     for step in range(rounds + 1):
-        per_text = _looked_up(spans, model).select("field", "n", "size", "marks", "total", "spans")
-        counts = cut_lineage(per_text.mapInPandas(_estimate(step, cuts), _COUNT).groupBy("field", "key", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
-        model = counts.filter("mark is null").select("field", "key", "c")
-        cuts = {}
-        for r in counts.filter("mark is not null").collect():  # one row per column and kind of delimiter
-            cuts.setdefault(r["field"], {})[r["mark"]] = (r["c"] + CUT * CUT_WEIGHT) / (r["n"] + CUT_WEIGHT)
-    return model, cuts
+        known = _looked_up(lattices, model) if model is not None else lattices.withColumn("counts", F.lit(None).cast("array<double>"))
+        counts = cut_lineage(known.mapInArrow(_estimate(step, totals, cuts), _COUNT).groupBy("field", "key", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
+        model = counts.filter("mark is null").select("key", "c")
+        totals, cuts = {}, {}
+        sums = counts.groupBy("field", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+        for r in sums.collect():  # one row per column and kind of delimiter
+            if r["mark"] is None:
+                totals[r["field"]] = r["c"]
+            else:
+                cuts.setdefault(r["field"], {})[r["mark"]] = (r["c"] + CUT * CUT_WEIGHT) / (r["n"] + CUT_WEIGHT)
+    return model, totals, cuts
 
 
-def _cut(cuts: dict[str, dict[str, float]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(totals: dict[str, float], cuts: dict[str, dict[str, float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for sid, field, text, size, total, spans in b.itertuples(index=False):
+            for field, text, size, counts in zip(*(b.column(c).to_pylist() for c in ("field", "text", "size", "counts"))):
                 items = json_items(text)
                 if items is None:
                     parts = pieces(text)
-                    items = []
-                    for i, j in best_cutting(size, span_weights(spans, total, marks_of(parts), cuts.get(field, {}))):
-                        whole = parts[i][1] + "".join(f" {d} {p}" for d, p in parts[i + 1 : j])
-                        items.append(clean_value(whole))
-                out.append((sid, items))
-            yield pd.DataFrame(out, columns=["sid", "items"])
+                    spans = best_cutting(size, span_weights(size, counts, totals[field], marks_of(parts), cuts.get(field, {}))) if size > 1 else layout(size)
+                    items = [value_of(parts, i, j) for i, j in spans]
+                out.append(items)
+            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("text"), pa.array(out, pa.list_(pa.string()))], names=["field", "text", "items"])
 
     return run
 
@@ -331,14 +347,13 @@ def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds:
     value frequencies. A text with one value yields that one row.
     """
     texts = cut_lineage(distinct_texts([(name, df, text) for name, df, _, text in columns]))
-    spans = cut_lineage(texts.select("sid", "field", "text", "n").mapInPandas(_lattice, _SPAN))
-    model, chances = learn_values(spans, rounds)
-    known = _looked_up(spans, model).select("sid", "size", "total", "spans")
-    cuts = texts.join(known, "sid").select("sid", "field", "text", "size", "total", "spans").mapInPandas(_cut(chances), "sid bigint, items array<string>")
-    cuts = texts.select("sid", "field", "text").join(cuts, "sid")
+    lattices = cut_lineage(texts.mapInArrow(_lattice, _LATTICE))
+    model, totals, chances = learn_values(lattices, rounds)
+    known = _looked_up(lattices, model).select("sid", "size", "counts")
+    cuts = texts.join(known, "sid").select("field", "text", "size", "counts").mapInArrow(_cut(totals, chances), "field string, text string, items array<string>")
     rows = None
     for name, df, rid, text in columns:
         part = df.select(F.lit(name).alias("field"), rid.alias("row_id"), text.cast("string").alias("text")).dropDuplicates(["row_id"])
         rows = part if rows is None else rows.unionByName(part)
-    found = rows.join(cuts.select("field", "text", "items"), ["field", "text"])
+    found = rows.join(cuts, ["field", "text"])
     return found.select("field", "row_id", F.posexplode("items").alias("pos", "value")).select("field", "row_id", (F.col("pos") + 1).cast("bigint").alias("item_no"), "value")
