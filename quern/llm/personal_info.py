@@ -154,6 +154,11 @@ def disclosure(statistics: DataFrame, rate: float) -> DataFrame:
 # -- mentions in one text --------------------------------------------------------------------------
 
 
+def _led(text: str, start: int, cued: set[int]) -> bool:
+    """Whether a phrase or word for a person introduces what starts here."""
+    return start in cued or bool(_ADDRESSED.search(text[max(0, start - 24) : start]))
+
+
 def _bridges(text: str, tokens: list, j: int) -> bool:
     """Whether a common word is the middle of a capitalised name: between two telling capitalised words."""
     if j + 1 >= len(tokens) or tokens[j + 1][2] < WORD_BITS or text[tokens[j][1] : tokens[j + 1][0]] != " ":
@@ -175,16 +180,24 @@ def _name_spans(text: str, bits: dict[str, float]) -> list[tuple[int, int]]:
             if tokens[j][2] < WORD_BITS and not _bridges(text, tokens, j):
                 break
             j += 1
+        lead, k = False, i
+        for back in (1, 2):  # a common word may open a capitalised name that is introduced
+            k = i - back
+            if k < 0 or not tokens[k][3][0].isupper() or text[tokens[k][1] : tokens[k + 1][0]] != " ":
+                break
+            if lead := _led(text, tokens[k][0], cued):
+                i = k
+                break
         run = tokens[i:j]
         start = run[0][0]
         telling = [t[2] for t in run if t[2] >= WORD_BITS]
         mean = sum(telling) / len(telling)
-        lead = start in cued or bool(_ADDRESSED.search(text[max(0, start - 24) : start]))
+        opened, lead = lead, lead or _led(text, start, cued)
         cased = all(t[3][0].isupper() for t in run)
         if cased and j < len(tokens) and len(run) in (2, 3) and tokens[j][3][0].isupper() and text[tokens[j - 1][1] : tokens[j][0]] == " " and (lead or tokens[j][2] > 0):
             run, j = [*run, tokens[j]], j + 1  # a rare last word of a name
             telling.append(WORD_BITS if lead else 0.0)
-        if len(telling) > 1 and mean >= (CUED_BITS if lead else ALONE_BITS) and (cased or lead or mean >= ALONE_BITS + 1):
+        if (len(telling) > 1 or (opened and cased and len(run) > 1)) and mean >= (CUED_BITS if lead else ALONE_BITS) and (cased or lead or mean >= ALONE_BITS + 1):
             out.append((start, run[-1][1]))
         i = j
     return out
@@ -228,7 +241,9 @@ def redact(text: str, bits: dict[str, float]) -> str:
 @lru_cache(maxsize=2)
 def _maybe_name(words: tuple[str, ...]) -> str:
     any_word = "|".join(re.escape(w) for w in words)
-    return rf"(?i)(?:^|[^\p{{L}}])(?:{any_word}) (?:\p{{L}}+ )?(?:{any_word})(?:[^\p{{L}}]|$)"
+    pair = rf"(?:^|[^\p{{L}}])(?:{any_word}) (?:\p{{L}}+ )?(?:{any_word})(?:[^\p{{L}}]|$)"
+    opened = rf"\p{{Lu}}\p{{L}}* (?:\p{{Lu}}\p{{L}}* )?(?i:{any_word})(?:[^\p{{L}}]|$)"
+    return rf"(?i:{pair})|{opened}"
 
 
 def _candidates(texts: pa.Array, words: tuple[str, ...] | None) -> pa.Array:

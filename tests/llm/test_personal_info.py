@@ -16,7 +16,7 @@ CASES = [
     ("nhà 1/180, phố Gió Lành", {"address"}), ("I live at 182 Heron Steps Avenue.", {"address"}),
     ("quận 7, TP.HCM", set()), ("hội trường Mai Vàng", set()), ("Năm 2025 đường bưu điện", set()), ("tầng 2 nhà Hoa Phượng", set()), ("12 Đường dẫn em gửi", set()),
     ("em tên là Kiều Văn Đoan!", {"name"}), ("tôi là KIỀU THỊ ĐOAN.", {"name"}), ("bạn nguyễn diệu đoan nhờ em hỏi", {"name"}), ("For Maren Astermoor, my sister", {"name"}),
-    ("tôi là sinh viên năm nhất", set()), ("Đoan", set()),
+    ("Tôi là Khong Thi Astermoor - sđt", {"name"}), ("Khong Thi Astermoor", set()), ("tôi là sinh viên năm nhất", set()), ("Đoan", set()),
     ("Liên hệ 0951139561. CCCD 009396140845, hộp thư: d@post.example.org", {"phone", "id_number", "email"}),
 ]
 
