@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import strip
+from quern.functions.text import ascii_words, ascii_words_col, ngrams, similarity_col, strip
 
 #: Bytes of query vectors that one block carries to the tasks; more queries are searched block by block.
 BLOCK_BYTES = 64 << 20
@@ -188,6 +188,31 @@ def even_positions(n: int, count: int = 8) -> list[int]:
     return sorted({round(i * (n - 1) / (count - 1)) for i in range(count)}) if n > count else list(range(n))
 
 
+def fuzzy_match(rows: DataFrame, phrases: list[str], least: float = 0.85) -> DataFrame:
+    """``row_id, wanted, ratio`` of the texts (``row_id, text``) that hold a phrase or words like it, both as ``ascii_words``.
+
+    A phrase that stands in the text, even within words, has ratio 1. Else the best window of as many
+    words as the phrase counts, if it is at least ``least`` similar. Phrases without ASCII letters match nothing.
+    """
+    wanted = [w for w in dict.fromkeys(map(ascii_words, phrases)) if w]
+    if not wanted:
+        return rows.select("row_id", F.lit("").alias("wanted"), F.lit(0.0).alias("ratio")).limit(0)
+    texts = rows.filter("text is not null").select("row_id", ascii_words_col(F.col("text")).alias("text"))
+    there = F.filter(F.array(*map(F.lit, wanted)), lambda w: F.contains(F.col("text"), w))
+    whole = texts.select("row_id", F.explode(there).alias("wanted"), F.lit(1.0).alias("ratio"))
+    by_length: dict[int, list[str]] = {}
+    for w in wanted:
+        by_length.setdefault(len(w.split(" ")), []).append(w)
+    words = F.split("text", " ")
+    windows = F.map_from_arrays(F.array(*map(F.lit, by_length)), F.array(*[ngrams(words, n, n) for n in by_length]))
+    grams = texts.select("row_id", F.explode(windows).alias("n", "all")).select("row_id", F.explode("all").alias("gram"), "n")
+    of_length = F.element_at(F.create_map(*[x for n, ws in by_length.items() for x in (F.lit(n), F.array(*map(F.lit, ws)))]), F.col("n"))
+    pairs = grams.select("gram", "n").distinct().select("gram", "n", F.explode(of_length).alias("wanted"))
+    alike = pairs.withColumn("ratio", similarity_col(F.col("wanted"), F.col("gram"))).filter(F.col("ratio") >= least)
+    found = grams.join(alike, ["gram", "n"]).select("row_id", "wanted", F.round("ratio", 6).alias("ratio"))
+    return whole.unionByName(found).groupBy("row_id", "wanted").agg(F.max("ratio").alias("ratio"))
+
+
 def score_pairs(pairs: DataFrame, scorer, batch: int = 16) -> DataFrame:
     """``pair_id, logit`` from an injected scorer of (query, passage) lists; longest first, so batches are even.
 

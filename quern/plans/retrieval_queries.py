@@ -180,12 +180,8 @@ def normalised_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Topics with a two-word phrase that is at least 0.85 similar to one of the wanted phrases."""
-    rows = _admissions(spark, sf).select("row_id", T.ascii_words_col(F.coalesce(F.col("`Chủ đề`"), F.lit(""))).alias("topic")).withColumn("words", F.split("topic", " "))
-    grams = rows.select("row_id", F.explode(T.ngrams(F.col("words"), 2, 2)).alias("gram"))
-    wanted = F.explode(F.array(*[F.lit(T.ascii_words(f)) for f in FORMS[:3]])).alias("wanted")
-    distinct = grams.select("gram").distinct().select("gram", wanted).withColumn("ratio", F.round(T.similarity_col(F.col("gram"), F.col("wanted")), 6)).filter("ratio >= 0.85")
-    return grams.join(distinct, "gram").groupBy("row_id", "wanted").agg(F.max("ratio").alias("ratio"))
+    """Topics that hold one of the wanted phrases, or as many words in a row that are at least 0.85 similar to it."""
+    return retrieval.fuzzy_match(_admissions(spark, sf).select("row_id", F.col("`Chủ đề`").alias("text")), FORMS)
 
 
 QUERIES = {

@@ -86,3 +86,24 @@ def test_documents_positions_and_cosine(spark):
     assert r.even_positions(3) == [0, 1, 2] and r.even_positions(100) == [0, 14, 28, 42, 57, 71, 85, 99]
     v = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0])], "a array<float>, b array<float>")
     assert v.select(r.cosine(F.col("a"), F.col("b"))).first()[0] == 1.0
+
+
+def test_fuzzy_match_takes_every_phrase_at_its_own_length(spark):
+    import difflib
+
+    from quern.functions.text import ascii_words
+    from quern.plans.retrieval_queries import FORMS
+
+    texts = ["Xét tuyển đợt 2", "xet tuyem", "Đề án tuyển sinh", "de an tuyen sinhh 2025", "tuyển sinh", "học bỗng", "họcphí, thủ-tục", "xhoc phix", "tục thủ", "", None, "phí", "học"]
+    got = {(x.row_id, x.wanted): x.ratio for x in r.fuzzy_match(spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string"), [*FORMS, "phí", "đ"]).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        plain = ascii_words(text or "")
+        for w in filter(None, map(ascii_words, [*FORMS, "phí", "đ"])):
+            words, n = plain.split(), len(w.split())
+            best = max([difflib.SequenceMatcher(None, w, " ".join(words[k : k + n])).ratio() for k in range(len(words) - n + 1)], default=0.0)
+            if w in plain or best >= 0.85:
+                want[i, w] = 1.0 if w in plain else round(best, 6)
+    assert got == want
+    assert {(0, "xet tuyen"), (1, "xet tuyen"), (2, "e an tuyen sinh"), (3, "e an tuyen sinh"), (6, "phi"), (7, "hoc phi")} <= set(got)
+    assert r.fuzzy_match(spark.createDataFrame([(1, "a")], "row_id bigint, text string"), ["đ"]).count() == 0
