@@ -4,7 +4,7 @@ Addresses of mail and place, telephone and identity numbers are recognised by th
 shape of their own; how strongly a word reveals one is estimated from the corpus: the information, in
 bits, that the word gives about standing in a name, from how often it stands where texts introduce names
 and how often it occurs at all. Runs of words above the disclosure threshold are names, wherever they
-stand. Each mention is generalised to a placeholder of its type.
+stand; a capitalised name that a cue phrase introduces is one whatever its words tell. Each mention is generalised to a placeholder of its type.
 
 Edge cases, all covered by tests: null and empty texts mention nothing and stay; disguised characters
 are read in their plain form; several mentions of a type give one row; rows with equal id count once;
@@ -37,10 +37,12 @@ CUES = (
 ADDRESSING = "cô|thầy|anh|chị|bạn|cháu|em|bác|chú|ông|bà|phụ huynh|bé|chỗ|tôi là|mình là|em là|gửi|chào|this is|i am|i'm|dear|for|mr|mrs|ms|dr|contact|ask"
 #: Least bits for a word of a name, for the mean of a name that stands alone and for one that is introduced.
 WORD_BITS, ALONE_BITS, CUED_BITS = 3.0, 5.5, 3.0
-#: Least occurrences in introduced names for a word to count as one of a name.
-LEAST_SEEN = 2
+#: Occurrences at the corpus's own rate that smooth each word's share of occurrences in names.
+PRIOR_SEEN = 1.0
 #: So many name words go to the tasks with the code; beyond it they are joined to the texts instead.
 CARRIED_WORDS = 50_000
+#: So many words go into one search pattern.
+PATTERN_WORDS = 3_000
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
@@ -92,15 +94,27 @@ def introduced(text: str) -> Iterator[list[str]]:
     """Word lists of the names that cue phrases introduce and punctuation or capitals delimit."""
     for m in _CUE.finditer(text):
         found = _WORDS.findall(m.group(1))
-        capital = [w for w in found if w[0].isupper()]
-        if found and found[0][0].isupper():
-            n = next((i for i, w in enumerate(found) if not w[0].isupper()), len(found))
-            if 2 <= n <= 5:
-                yield [w.lower() for w in found[:n]]
-        elif not capital and m.group(2) and 2 <= len(found) <= 4:
+        n = _capitalised(found)
+        if 2 <= n <= 5:
+            yield [w.lower() for w in found[:n]]
+        elif m.group(2) and 2 <= len(found) <= 4 and not any(w[0].isupper() for w in found):
             yield [w.lower() for w in found]
 
 
+def _capitalised(words: list[str]) -> int:
+    """How many words at the beginning have a capital."""
+    return next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
+
+
+def _introduced_span(m: re.Match) -> tuple[int, int] | None:
+    """Where the capitalised name stands that a match of ``_CUE`` introduces; after a cue in capitals, capitals tell nothing."""
+    words = list(_WORDS.finditer(m.group(1)))
+    n = _capitalised([w.group() for w in words])
+    if not 2 <= n <= 5 or m.string[m.start() : m.start(1)].isupper():
+        return None
+    return m.start(1), m.start(1) + words[n - 1].end()
+
+
 # -- what words reveal -----------------------------------------------------------------------------
 
 
@@ -143,12 +157,13 @@ def word_statistics(texts: DataFrame) -> DataFrame:
 def disclosure(statistics: DataFrame, rate: float) -> DataFrame:
     """``word, bits``: how much a word tells about standing in a name, log2 P(name | word) / P(name).
 
-    ``rate`` is the share of words in introduced names. Only words seen ``LEAST_SEEN`` times in names are
-    kept.
+    ``rate`` is the share of words in introduced names. A word's share is drawn towards it as if the word
+    had been seen ``PRIOR_SEEN`` times more, so one introduction tells much of a rare word and little of a
+    common one.
     """
-    seen = F.least("in_names", "n").cast("double")
-    bits = F.log2((seen / (F.col("n") + 1.0)) / F.lit(rate))
-    return statistics.filter(F.col("in_names") >= LEAST_SEEN).select("word", bits.alias("bits")).filter(F.col("bits") >= WORD_BITS)
+    seen = F.least("in_names", "n") + F.lit(PRIOR_SEEN * rate)
+    bits = F.log2((seen / (F.col("n") + F.lit(PRIOR_SEEN))) / F.lit(rate))
+    return statistics.filter("in_names > 0").select("word", bits.alias("bits")).filter(F.col("bits") >= WORD_BITS)
 
 
 # -- mentions in one text --------------------------------------------------------------------------
@@ -167,9 +182,10 @@ def _bridges(text: str, tokens: list, j: int) -> bool:
 
 
 def _name_spans(text: str, bits: dict[str, float]) -> list[tuple[int, int]]:
-    out = []
+    out: list[tuple[int, int]] = []
     tokens = [(m.start(), m.end(), bits.get(m.group().lower(), -1.0), m.group()) for m in _WORDS.finditer(text)]
-    cued = {m.start(1) for m in _CUE.finditer(text)}
+    cues = list(_CUE.finditer(text))
+    cued = {m.start(1) for m in cues}
     i = 0
     while i < len(tokens):
         if tokens[i][2] < WORD_BITS:
@@ -200,7 +216,10 @@ def _name_spans(text: str, bits: dict[str, float]) -> list[tuple[int, int]]:
         if (len(telling) > 1 or (opened and cased and len(run) > 1)) and mean >= (CUED_BITS if lead else ALONE_BITS) and (cased or lead or mean >= ALONE_BITS + 1):
             out.append((start, run[-1][1]))
         i = j
-    return out
+    for span in filter(None, map(_introduced_span, cues)):
+        parts = [x for x in out if x[0] < span[1] and span[0] < x[1]]
+        out = [x for x in out if x not in parts] + [(min(x[0] for x in [span, *parts]), max(x[1] for x in [span, *parts]))]
+    return sorted(out)
 
 
 def mentions(text: str, bits: dict[str, float]) -> list[tuple[int, int, str]]:
@@ -239,17 +258,20 @@ def redact(text: str, bits: dict[str, float]) -> str:
 
 
 @lru_cache(maxsize=2)
-def _maybe_name(words: tuple[str, ...]) -> str:
+def _maybe_name(words: tuple[str, ...]) -> tuple[str, ...]:
+    if len(words) > PATTERN_WORDS:  # RE2 bounds the size of a pattern: any single word, some at a time
+        some = (words[i : i + PATTERN_WORDS] for i in range(0, len(words), PATTERN_WORDS))
+        return tuple(rf"(?i:(?:^|[^\p{{L}}])(?:{'|'.join(map(re.escape, x))})(?:[^\p{{L}}]|$))" for x in some)
     any_word = "|".join(re.escape(w) for w in words)
     pair = rf"(?:^|[^\p{{L}}])(?:{any_word}) (?:\p{{L}}+ )?(?:{any_word})(?:[^\p{{L}}]|$)"
     opened = rf"\p{{Lu}}\p{{L}}* (?:\p{{Lu}}\p{{L}}* )?(?i:{any_word})(?:[^\p{{L}}]|$)"
-    return rf"(?i:{pair})|{opened}"
+    return (rf"(?i:{pair})|{opened}",)
 
 
 def _candidates(texts: pa.Array, words: tuple[str, ...] | None) -> pa.Array:
     """Which plain texts may mention something. With ``words`` None the names are looked up by the caller."""
     hit = pc.match_substring_regex(texts, _MAYBE_MAIL)
-    for pattern in (_MAYBE_NUMBER, _MAYBE_STREET, *([_maybe_name(words)] if words else [])):
+    for pattern in (_MAYBE_NUMBER, _MAYBE_STREET, _MAYBE_CUE, *(_maybe_name(words) if words else ())):
         hit = pc.or_(hit, pc.match_substring_regex(texts, pattern))
     return pc.fill_null(hit, False)
 

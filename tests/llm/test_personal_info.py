@@ -77,3 +77,21 @@ def test_statistics_match_plain_counts(spark):
 
 def test_empty(spark):
     assert p.found(rows(spark, [])).count() == 0 and p.redacted(rows(spark, [])).count() == 0
+
+
+def test_an_introduced_name_needs_no_other_rows(spark):
+    texts = {0: "My name is Orvane Tulquist.", 1: "em tên là Ngạc Thụy Quyên ạ", 2: "họ tên: orvel brisk, lớp 12", 3: "HỌ TÊN: BẮT BUỘC.", 4: "Tên là bắt buộc phải ghi", 5: "họ tên: Orvane"}
+    for padding in (0, 400):
+        data = [(i, t, "") for i, t in texts.items()] + [(100 + i, "Tên phải bắt buộc ghi ở phòng đào tạo, học phí kỳ này bao nhiêu", "") for i in range(40 + padding)]
+        assert {r.row_id for r in p.found(rows(spark, data)).collect() if r.pii_type == "name"} == {0, 1, 2}
+        done = {r.row_id: r.text for r in p.redacted(rows(spark, data)).collect()}
+        assert [done[i] for i in (0, 1, 2, 3)] == ["My name is [NAME].", "em tên là [NAME] ạ", "họ tên: [NAME], lớp 12", texts[3]]
+
+
+def test_a_lexicon_too_large_for_one_pattern_is_searched_in_parts():
+    import pyarrow as pa
+
+    words = tuple(sorted({*BITS, *("".join(chr(0x1EA1 + 2 * (i // 20**k % 20)) for k in range(6)) for i in range(20_000))}))
+    texts = ["nhờ nguyễn diệu đoan hỏi", "học phí bao nhiêu", "Zed Đoan"]
+    assert p._candidates(pa.array(texts), words).to_pylist() == [True, False, True]
+    assert p._candidates(pa.array(texts), words[: p.PATTERN_WORDS]).to_pylist()[1] is False
