@@ -1,0 +1,34 @@
+"""Letters of other scripts that the Unicode confusables list (read through ICU 73) gives the look of one Latin letter.
+
+Those of ``visual_forms`` itself are left out, as are letters that look like several or like none.
+"""
+
+CONFUSABLES = (
+    ("\U00011700\U00011706\U0001170a\U0001170e\U0001170f", "mvwww"),  # Ahom
+    ("\u0627\u0647\u06be\u06c1\u06d5", "loooo"),  # Arabic
+    ("\u054f\u0561\u0563\u0566\u057c\u0584", "Swqqnf"),  # Armenian
+    ("\ua6df", "V"),  # Bamum
+    ("\u142f\u144c\u146d\u146f\u1472\u148d\u14aa\u1541\u157c\u157d\u1587\u15af\u15b4\u15c5\u15de\u15ea\u15f0\u15f7", "VUPdbJLxHxRbFADDMB"),  # Canadian
+    ("\U000102a0\U000102a1\U000102a2\U000102a5\U000102ab\U000102b0\U000102b1\U000102b2\U000102b4\U000102cf", "ABCFOMTYXH"),  # Carian
+    ("\u13a0\u13a1\u13a2\u13a5\u13a9\u13aa\u13ab\u13ac\u13b3\u13b7\u13bb\u13bd\u13c0\u13c2\u13c3\u13cf\u13d2\u13d4\u13d5\u13d9\u13da\u13de\u13df\u13e2\u13e6\u13e7\u13f3\u13f4\uab75\uab81\uab83\uab93\uaba9\uabaa\uabaf", "DRTiYAJEWMHYGhZbRWSVSLCPKdGBirwzvsc"),  # Cherokee
+    ("\u2c85\u2c8e\u2c92\u2c94\u2c98\u2c9a\u2c9e\u2c9f\u2ca2\u2ca3\u2ca4\u2ca5\u2ca6\u2ca8\u2cac\u2cd0", "rHIKMNOoPpCcTYXL"),  # Coptic
+    ("\u042c\u0433\u0461\u0474\u0475\u04bd\ua647", "brwVvei"),  # Cyrillic
+    ("\U00010404\U00010415\U0001041b\U00010420\U0001042c\U0001043d\U00010448", "OCLSocs"),  # Deseret
+    ("\U00010513\U00010516\U00010518\U0001051c\U0001051d\U00010525\U00010526\U00010527", "NOKCVFLX"),  # Elbasan
+    ("\u1200\u12d0", "UO"),  # Ethiopic
+    ("\u10e7\u10ff", "yo"),  # Georgian
+    ("\u037f\u03c3\u03dc\u03fa\u1d26", "JoFMr"),  # Greek
+    ("\u05d5\u05d8\u05df\u05e1", "lvlo"),  # Hebrew
+    ("\ua4d0\ua4d1\ua4d2\ua4d3\ua4d4\ua4d6\ua4d7\ua4d9\ua4da\ua4dc\ua4dd\ua4df\ua4e0\ua4e1\ua4e2\ua4e3\ua4e6\ua4e7\ua4ea\ua4eb\ua4ec\ua4ee\ua4f0\ua4f2\ua4f3\ua4f4", "BPdDTGKJCZFMNLSRVHWXYAElOU"),  # Lisu
+    ("\U00010282\U00010286\U00010287\U0001028a\U00010290\U00010292\U00010295\U00010296\U00010297", "BEFlXOPST"),  # Lycian
+    ("\u0d20", "o"),  # Malayalam
+    ("\U00016f08\U00016f0a\U00016f16\U00016f28\U00016f35\U00016f3a\U00016f40\U00016f42\U00016f43", "VTLlRSAUY"),  # Miao
+    ("\u101d", "o"),  # Myanmar
+    ("\u07ca", "l"),  # Nko
+    ("\U00010301\U00010302\U00010309\U00010311\U00010315\U00010317", "BClMTX"),  # Old
+    ("\u0b20", "O"),  # Oriya
+    ("\U000104b4\U000104c2\U000104ce\U000104ea\U000104f6", "ROUou"),  # Osage
+    ("\u16b7\u16c1\u16d5\u16d6", "XlKM"),  # Runic
+    ("\u2d38\u2d39\u2d4f\u2d54\u2d55\u2d5d", "VElOQX"),  # Tifinagh
+    ("\U000118a0\U000118a2\U000118a3\U000118a4\U000118a6\U000118a9\U000118ae\U000118b2\U000118b5\U000118b8\U000118bc\U000118c0\U000118c1\U000118c2\U000118c3\U000118c4\U000118c8\U000118d7\U000118d8\U000118dc", "VFLYEZELOUTvsFizoouy"),  # Warang
+)
