@@ -328,10 +328,17 @@ def _joined_batches(redacting: bool):
     return run
 
 
+def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text in plain form, as ``mentions`` reads them."""
+    for b in batches:
+        words = [list(dict.fromkeys(w.lower() for w in _WORDS.findall(t or ""))) for t in plain_texts(b.column("text")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(words, pa.list_(pa.string()))], names=["key", "words"])
+
+
 def with_words(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rows with the name words they contain, by a join on words; for lexicons too large to carry."""
+    """Rows with the name words they contain in plain form, by a join on words; for lexicons too large to carry."""
     own = rows.withColumn("key", F.xxhash64("table_name", "row_id", "text"))
-    words = own.select("key", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}'’\\-]+"))).alias("word")).join(lexicon, "word")
+    words = own.select("key", "text").mapInArrow(_plain_words, "key bigint, words array<string>").select("key", F.explode("words").alias("word")).join(lexicon, "word")
     packed = words.distinct().groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "bits"))).alias("words"))
     return own.join(packed, "key", "left").select("table_name", "row_id", "text", "words")
 

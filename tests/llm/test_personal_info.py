@@ -95,3 +95,16 @@ def test_a_lexicon_too_large_for_one_pattern_is_searched_in_parts():
     texts = ["nhờ nguyễn diệu đoan hỏi", "học phí bao nhiêu", "Zed Đoan"]
     assert p._candidates(pa.array(texts), words).to_pylist() == [True, False, True]
     assert p._candidates(pa.array(texts), words[: p.PATTERN_WORDS]).to_pylist()[1] is False
+
+
+def test_disguised_names_are_joined_as_they_are_carried(spark, monkeypatch):
+    import unicodedata
+
+    name = "gửi bạn quách văn khuê xem giúp"
+    odd = [unicodedata.normalize("NFD", name), name.replace("quách", "ｑｕách"), name.replace("văn", "vă\u200bn"), name.replace("quách", "quáсh"), name.replace(" văn", "\u00a0văn")]
+    data = [*CORPUS, *[(900 + i, t, "") for i, t in enumerate([name, *odd])], (950, None, "")]
+    want = p.found(rows(spark, data)).collect(), p.redacted(rows(spark, data)).collect()
+    assert {900 + i for i in range(6)} <= {r.row_id for r in want[0] if r.pii_type == "name"}
+    monkeypatch.setattr(p, "CARRIED_WORDS", 0)
+    got = p.found(rows(spark, data)).collect(), p.redacted(rows(spark, data)).collect()
+    assert [set(x) for x in got] == [set(x) for x in want]
