@@ -4,7 +4,9 @@ Addresses of mail and place, telephone and identity numbers are recognised by th
 shape of their own; how strongly a word reveals one is estimated from the corpus: the information, in
 bits, that the word gives about standing in a name, from how often it stands where texts introduce names
 and how often it occurs at all. Runs of words above the disclosure threshold are names, wherever they
-stand; a capitalised name that a cue phrase introduces is one whatever its words tell. Each mention is generalised to a placeholder of its type.
+stand; a capitalised name that a cue phrase introduces is one whatever its words tell. Words of street names are
+learned in the same way from where texts name a street, and disclose a house number that stands before them without
+a word for street. Each mention is generalised to a placeholder of its type.
 
 Edge cases, all covered by tests: null and empty texts mention nothing and stay; disguised characters
 are read in their plain form; several mentions of a type give one row; rows with equal id count once;
@@ -17,8 +19,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -39,10 +41,10 @@ ADDRESSING = "cô|thầy|anh|chị|bạn|cháu|em|bác|chú|ông|bà|phụ huynh
 WORD_BITS, ALONE_BITS, CUED_BITS = 3.0, 5.5, 3.0
 #: Occurrences at the corpus's own rate that smooth each word's share of occurrences in names.
 PRIOR_SEEN = 1.0
-#: So many name words go to the tasks with the code; beyond it they are joined to the texts instead.
+#: Least bits for each word of a street that stands behind a house number.
+STREET_BITS = 3.0
+#: So many telling words go to the tasks with the code; beyond it they are joined to the texts instead, with the same result.
 CARRIED_WORDS = 50_000
-#: So many words go into one search pattern.
-PATTERN_WORDS = 3_000
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
@@ -67,18 +69,36 @@ ADDRESS = re.compile(
 )
 ADDRESS_EN = re.compile(r"(?<![\w/\-.,])\d{1,5}[A-Za-z]?\s(?:[A-Z][\w'’]+\s){1,4}(?:Street|Road|Avenue|Lane|Drive|Court|Way|Boulevard|Square|Close|Terrace|Place|Crescent|St|Rd|Ave|Ln|Dr|Blvd)\b\.?")
 _WORD = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
+# Words for a street before its name, and words for parts of a town.
+_STREET = r"(?:đường|phố|đ\.|đại lộ|duong|pho|dai lo)"
+_TOWN_PART = r",?\s(?:phường|quận|huyện|xã|thị trấn|thành phố|phuong|quan|huyen|tp\b|p\.|q\.|ward|district)"
+STREET_NAMED = re.compile(rf"(?<!\w){_STREET}\s?({_WORD}(?:\s{_WORD}){{1,3}})", re.I)
+HOUSE = re.compile(rf"(?<![\w/\-.,])((?i:số nhà|so nha|nhà số|nha so|nhà|nha|số|so)\s)?({_NUMBER}),?\s({_WORD}(?:\s{_WORD}){{1,3}})")
+_IN_TOWN = re.compile(_TOWN_PART, re.I)
 _CUE = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(CUES, key=len, reverse=True)))})\s+(?:(?:cô|thầy|anh|chị|bạn|em)\s)?({_WORD}(?:\s{_WORD}){{0,5}})(\s*[.,;:!?)\-–\n]|\s*$|)", re.I)
 _ADDRESSED = re.compile(rf"(?<!\w)(?:{ADDRESSING})\s*$", re.I)
 _WORDS = re.compile(_WORD)
 
-# Cheap filters in RE2 for a whole batch; a text that passes none mentions nothing by shape.
-_MAYBE_MAIL = r"(?i)@|[\[({<] ?(?:at|a còng|a cong) ?[\])}>]|a còng|a cong"
-_MAYBE_NUMBER = (
-    r"(?:^|[^0-9A-Za-z./,\-])(?:\(?\+[0-9]|\(?84\)?[ .\-]?[3-9]|0084|0[0-9][ .\-]?[0-9]|\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4})"
-    r"|(?i:cccd|cmnd|cmtnd|căn cước|chứng minh|hộ chiếu|định danh|can cuoc|chung minh|ho chieu|dinh danh|passport|id number|identity|national id|id card|id no)"
-)
-_MAYBE_STREET = r"(?i)[0-9][a-z]?,? (?:đường|phố|đ\.|đại lộ|duong|pho|hẻm|ngõ|ngách|kiệt|hem|ngo) |[0-9][a-z]?,? đ\.|(?:hẻm|ngõ|ngách|kiệt|hem|ngo|ngach|kiet) [0-9]|[0-9][A-Za-z]? [A-Z][^ ]+ (?:[A-Z][^ ]+ ){0,3}(?:Street|Road|Avenue|Lane|Drive|Court|Way|Boulevard|Square|Close|Terrace|Place|Crescent|St|Rd|Ave|Ln|Dr|Blvd)"
-_MAYBE_CUE = "(?i)" + "|".join(re.escape(c) for c in CUES)
+
+
+def _re2(pattern: re.Pattern) -> str:
+    """A pattern for RE2, which reads a whole batch at a time. It finds at least the texts that the pattern finds: what RE2
+    lacks (looking around, word boundaries, references back) is left out or widened, the classes are those of Python."""
+    space = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+    text = re.sub(r"\(\?<?[!=](?:\[(?:\\.|[^\]])*\]|\\.|[^()\[])*\)", "", pattern.pattern)
+    text = text.replace(r"\b", "").replace(r"\1", "[ .]")
+    text = text.replace(r"[^\W\d_]", r"[\p{L}\p{Nl}\p{No}]").replace(r"[^\W_]", r"[\p{L}\p{N}]")
+    inside = lambda m: m.group().replace(r"\w", r"\p{L}\p{N}_").replace(r"\s", space).replace(r"\d", r"\p{Nd}")
+    text = re.sub(r"\[(?:\\.|[^\]])+\]", inside, text)
+    outside = {r"\w": r"[\p{L}\p{N}_]", r"\s": f"[{space}]", r"\d": r"\p{Nd}"}
+    parts = re.split(r"(\[(?:\\.|[^\]])+\])", text)
+    text = "".join(p if i % 2 else re.sub(r"\\[wsd]", lambda m: outside[m.group()], p) for i, p in enumerate(parts))
+    return ("(?i)" if pattern.flags & re.I else "") + text
+
+
+#: A text in which none of these is found mentions nothing by its shape or after a cue.
+SHAPES = (*map(_re2, (EMAIL, PHONE, ID_CUED, ID_ALONE, ADDRESS, ADDRESS_EN, _CUE)), _re2(HOUSE).replace(r"([\p{L}\p{Nl}\p{No}]+", r"([\p{Lu}\p{Lt}\p{Nl}][\p{L}\p{Nl}\p{No}]*"))
+_CUE_RE2, _STREET_RE2 = _re2(_CUE), _re2(STREET_NAMED)
 _SUSPECT_RE2 = re.sub(r"\\u([0-9A-F]{4})", lambda m: rf"\x{{{m.group(1)}}}", SUSPECT)
 
 
@@ -101,6 +121,14 @@ def introduced(text: str) -> Iterator[list[str]]:
             yield [w.lower() for w in found]
 
 
+def street_names(text: str) -> Iterator[list[str]]:
+    """Word lists of the streets that a word for street introduces and capitals delimit."""
+    for m in STREET_NAMED.finditer(text):
+        found = _WORDS.findall(m.group(1))
+        if (n := _capitalised(found)) >= 2:
+            yield [w.lower() for w in found[:n]]
+
+
 def _capitalised(words: list[str]) -> int:
     """How many words at the beginning have a capital."""
     return next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
@@ -119,18 +147,17 @@ def _introduced_span(m: re.Match) -> tuple[int, int] | None:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a partition: occurrences of each word, and those in introduced names."""
+    """Partial counts of a partition: occurrences of each word, those in introduced names, and those in named streets."""
     totals: Counter = Counter()
     named: Counter = Counter()
+    streets: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
         words = list(totals)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([totals[w] for w in words], pa.int64()), pa.array([named[w] for w in words], pa.int64())], names=["word", "n", "in_names"]
-        )
-        totals.clear()
-        named.clear()
-        return out
+        columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (totals, named, streets))]
+        for c in (totals, named, streets):
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n", "in_names", "in_streets"])
 
     for b in batches:
         texts = plain_texts(b.column(0).drop_null())
@@ -138,32 +165,41 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in pc.value_counts(parts).to_pylist():
             if c["values"]:
                 totals[c["values"]] += c["counts"]
-        for t in texts.filter(pc.match_substring_regex(texts, _MAYBE_CUE)).to_pylist():
+        for t in texts.filter(pc.match_substring_regex(texts, _CUE_RE2)).to_pylist():
             for words in introduced(t):
                 named.update(words)
+        for t in texts.filter(pc.match_substring_regex(texts, _STREET_RE2)).to_pylist():
+            for words in street_names(t):
+                streets.update(words)
         if len(totals) > 500_000:
             yield flush()
-    if totals or named:
-        totals.update({w: 0 for w in named})
+    if totals or named or streets:
+        totals.update({w: 0 for w in (*named, *streets)})
         yield flush()
 
 
 def word_statistics(texts: DataFrame) -> DataFrame:
-    """``word, n, in_names`` over all texts (column ``text``); batches are counted where they lie."""
-    parts = texts.select("text").mapInArrow(_count_words, "word string, n bigint, in_names bigint")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("in_names").alias("in_names"))
+    """``word, n, in_names, in_streets`` over all texts (column ``text``); batches are counted where they lie."""
+    counts = ("n", "in_names", "in_streets")
+    parts = texts.select("text").mapInArrow(_count_words, "word string, " + ", ".join(f"{c} bigint" for c in counts))
+    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in counts])
 
 
-def disclosure(statistics: DataFrame, rate: float) -> DataFrame:
-    """``word, bits``: how much a word tells about standing in a name, log2 P(name | word) / P(name).
+def disclosure(statistics: DataFrame, rate: float, street_rate: float) -> DataFrame:
+    """``word, bits, street_bits``: how much a word tells about standing in a name, log2 P(name | word) / P(name), and likewise in a street's name.
 
-    ``rate`` is the share of words in introduced names. A word's share is drawn towards it as if the word
-    had been seen ``PRIOR_SEEN`` times more, so one introduction tells much of a rare word and little of a
-    common one.
+    The rates are the shares of words in introduced names and in named streets. A word's share is drawn towards
+    them as if the word had been seen ``PRIOR_SEEN`` times more, so one introduction tells much of a rare word
+    and little of a common one.
     """
-    seen = F.least("in_names", "n") + F.lit(PRIOR_SEEN * rate)
-    bits = F.log2((seen / (F.col("n") + F.lit(PRIOR_SEEN))) / F.lit(rate))
-    return statistics.filter("in_names > 0").select("word", bits.alias("bits")).filter(F.col("bits") >= WORD_BITS)
+
+    def bits(within: str, share: float):
+        seen = F.least(within, "n") + F.lit(PRIOR_SEEN * share)
+        told = F.log2((seen / (F.col("n") + F.lit(PRIOR_SEEN))) / F.lit(share))
+        return F.when(F.col(within) > 0, told).otherwise(F.lit(-1.0))
+
+    told = statistics.filter("in_names > 0 or in_streets > 0").select("word", bits("in_names", rate).alias("bits"), bits("in_streets", street_rate).alias("street_bits"))
+    return told.filter((F.col("bits") >= WORD_BITS) | (F.col("street_bits") >= STREET_BITS))
 
 
 # -- mentions in one text --------------------------------------------------------------------------
@@ -222,7 +258,26 @@ def _name_spans(text: str, bits: dict[str, float]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def mentions(text: str, bits: dict[str, float]) -> list[tuple[int, int, str]]:
+def _house_spans(text: str, streets: dict[str, float]) -> Iterator[tuple[int, int]]:
+    """House numbers with a street that no word for street names: its words tell that they are one, or a part of the town follows.
+
+    The number alone could be any; it needs a word for house or number, a letter or stroke, or the part of the town.
+    """
+    for m in HOUSE.finditer(text):
+        words = list(_WORDS.finditer(m.group(3)))
+        n = _capitalised([w.group() for w in words])
+        telling = next((i for i, w in enumerate(words[:n]) if streets.get(w.group().lower(), -1.0) < STREET_BITS), n)
+        for k, tells in ((telling, True), (n, False)):
+            if k < 2:
+                continue
+            end = m.start(3) + words[k - 1].end()
+            in_town = bool(_IN_TOWN.match(text, end))
+            if in_town or (tells and (m.group(1) or not m.group(2).isdigit())):
+                yield m.start(), end
+                break
+
+
+def mentions(text: str, bits: dict[str, float], streets: dict[str, float] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, type) of the mentions in a text, without overlaps, in order."""
     found: list[tuple[int, int, str]] = []
 
@@ -244,49 +299,55 @@ def mentions(text: str, bits: dict[str, float]) -> list[tuple[int, int, str]]:
     for pattern in (ADDRESS, ADDRESS_EN):
         for m in pattern.finditer(text):
             add(*m.span(), "address")
+    for span in _house_spans(text, streets or {}):
+        add(*span, "address")
     for span in _name_spans(text, bits):
         add(*span, "name")
     return sorted(found)
 
 
-def redact(text: str, bits: dict[str, float]) -> str:
+def redact(text: str, bits: dict[str, float], streets: dict[str, float] | None = None) -> str:
     out, at = [], 0
-    for start, end, kind in mentions(text, bits):
+    for start, end, kind in mentions(text, bits, streets):
         out += [text[at:start], PLACEHOLDER[kind]]
         at = end
     return "".join(out) + text[at:]
 
 
-@lru_cache(maxsize=2)
-def _maybe_name(words: tuple[str, ...]) -> tuple[str, ...]:
-    if len(words) > PATTERN_WORDS:  # RE2 bounds the size of a pattern: any single word, some at a time
-        some = (words[i : i + PATTERN_WORDS] for i in range(0, len(words), PATTERN_WORDS))
-        return tuple(rf"(?i:(?:^|[^\p{{L}}])(?:{'|'.join(map(re.escape, x))})(?:[^\p{{L}}]|$))" for x in some)
-    any_word = "|".join(re.escape(w) for w in words)
-    pair = rf"(?:^|[^\p{{L}}])(?:{any_word}) (?:\p{{L}}+ )?(?:{any_word})(?:[^\p{{L}}]|$)"
-    opened = rf"\p{{Lu}}\p{{L}}* (?:\p{{Lu}}\p{{L}}* )?(?i:{any_word})(?:[^\p{{L}}]|$)"
-    return (rf"(?i:{pair})|{opened}",)
+def letter_runs(words: list[str]) -> pa.Array:
+    """The runs of letters that words are made of, lower case."""
+    runs = pc.split_pattern_regex(pc.utf8_lower(pa.array(words, pa.string())), r"[^\p{L}]+").flatten()
+    return pc.unique(runs.filter(pc.not_equal(runs, "")))
 
 
-def _candidates(texts: pa.Array, words: tuple[str, ...] | None) -> pa.Array:
-    """Which plain texts may mention something. With ``words`` None the names are looked up by the caller."""
-    hit = pc.match_substring_regex(texts, _MAYBE_MAIL)
-    for pattern in (_MAYBE_NUMBER, _MAYBE_STREET, _MAYBE_CUE, *(_maybe_name(words) if words else ())):
-        hit = pc.or_(hit, pc.match_substring_regex(texts, pattern))
-    return pc.fill_null(hit, False)
+def _holds(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    """Which texts hold one of the runs of letters; a set look-up, so any number of runs will do."""
+    if not len(runs):
+        return pa.array([False] * len(texts), pa.bool_())
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+")
+    hit = np.concatenate([[0], np.cumsum(np.asarray(pc.is_in(parts.flatten(), value_set=runs)))])
+    at = np.asarray(parts.offsets) - parts.offsets[0].as_py()
+    return pa.array(hit[at[1:]] > hit[at[:-1]], pa.bool_())
 
 
-_KEYS = ("table_name", "row_id")
+def _candidates(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    """Which plain texts may mention something: all that do, and some that don't. ``runs`` are those of the name words."""
+    hit = _holds(texts, runs)
+    for pattern in SHAPES:
+        hit = pc.or_(hit, pc.fill_null(pc.match_substring_regex(texts, pattern), False))
+    return hit
 
 
-def _find_batches(bits: dict[str, float]):
-    words = tuple(sorted(bits))
+_KEYS = ("table_name", "row_id")
+
 
+def _find_batches(bits: dict[str, float], streets: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = letter_runs(list(bits))
         for b in batches:
             texts = plain_texts(b.column("text"))
-            hit = _candidates(texts, words)
-            kinds = [sorted({k for *_, k in mentions(t, bits)}) for t in texts.filter(hit).to_pylist()]
+            hit = _candidates(texts, runs)
+            kinds = [sorted({k for *_, k in mentions(t, bits, streets)}) for t in texts.filter(hit).to_pylist()]
             keep = b.filter(hit)
             rows = pa.array([i for i, ks in enumerate(kinds) for _ in ks], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -296,14 +357,13 @@ def _find_batches(bits: dict[str, float]):
     return run
 
 
-def _redact_batches(bits: dict[str, float]):
-    words = tuple(sorted(bits))
-
+def _redact_batches(bits: dict[str, float], streets: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = letter_runs(list(bits))
         for b in batches:
             texts = plain_texts(b.column("text"))
-            hit = _candidates(texts, words)
-            done = pa.array([redact(t, bits) for t in texts.filter(hit).to_pylist()], texts.type)
+            hit = _candidates(texts, runs)
+            done = pa.array([redact(t, bits, streets) for t in texts.filter(hit).to_pylist()], texts.type)
             out = pc.replace_with_mask(texts, hit, done) if len(done) else texts
             yield pa.RecordBatch.from_arrays([b.column("table_name"), b.column("row_id"), out], names=[*_KEYS, "text"])
 
@@ -311,17 +371,18 @@ def _redact_batches(bits: dict[str, float]):
 
 
 def _joined_batches(redacting: bool):
-    """As above, for rows that carry the name words they contain."""
+    """As above, for rows that carry the telling words they contain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = plain_texts(b.column("text")).to_pylist()
-            bits = [dict(x) if x else {} for x in b.column("words").to_pylist()]
+            words = b.column("words").to_pylist()
+            bits, streets = ([{x["word"]: x[kind] for x in ws or () if x[kind] >= least} for ws in words] for kind, least in (("bits", WORD_BITS), ("street_bits", STREET_BITS)))
             keys = list(zip(b.column("table_name").to_pylist(), b.column("row_id").to_pylist()))
             if redacting:
-                rows = [(*k, t if t is None else redact(t, w)) for k, t, w in zip(keys, texts, bits)]
+                rows = [(*k, t if t is None else redact(t, w, s)) for k, t, w, s in zip(keys, texts, bits, streets)]
             else:
-                rows = [(*k, kind) for k, t, w in zip(keys, texts, bits) if t for kind in sorted({x for *_, x in mentions(t, w)})]
+                rows = [(*k, kind) for k, t, w, s in zip(keys, texts, bits, streets) if t for kind in sorted({x for *_, x in mentions(t, w, s)})]
             kinds = (pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[*_KEYS, "text" if redacting else "pii_type"])
 
@@ -336,38 +397,42 @@ def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_words(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rows with the name words they contain in plain form, by a join on words; for lexicons too large to carry."""
+    """Rows with the telling words they contain in plain form, by a join on words; for lexicons too large to carry.
+
+    ``key`` only brings words to rows: should two texts share one, each gets the words of both, and those that it
+    doesn't contain change nothing.
+    """
     own = rows.withColumn("key", F.xxhash64("table_name", "row_id", "text"))
     words = own.select("key", "text").mapInArrow(_plain_words, "key bigint, words array<string>").select("key", F.explode("words").alias("word")).join(lexicon, "word")
-    packed = words.distinct().groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "bits"))).alias("words"))
+    packed = words.distinct().groupBy("key").agg(F.collect_set(F.struct("word", "bits", "street_bits")).alias("words"))
     return own.join(packed, "key", "left").select("table_name", "row_id", "text", "words")
 
 
 def learn(rows: DataFrame) -> DataFrame:
-    """Name words of the corpus: ``word, bits``."""
+    """Telling words of the corpus: ``word, bits, street_bits``."""
     statistics = cut_lineage(word_statistics(rows))
-    sums = statistics.agg(F.sum("n"), F.sum("in_names")).first()
-    rate = max(sums[1] or 0, 1) / max(sums[0] or 0, 1)
-    return disclosure(statistics, rate)
+    n, *within = statistics.agg(F.sum("n"), F.sum("in_names"), F.sum("in_streets")).first()
+    return disclosure(statistics, *(max(x or 0, 1) / max(n or 0, 1) for x in within))
 
 
-def _run(rows: DataFrame, carried, redacting: bool, schema: str) -> DataFrame:
+def _run(rows: DataFrame, carried, redacting: bool, schema: str, most: int) -> DataFrame:
     lexicon = learn(rows)
-    few = lexicon.limit(CARRIED_WORDS + 1).collect()
-    if len(few) <= CARRIED_WORDS:
-        return rows.mapInArrow(carried({r["word"]: r["bits"] for r in few}), schema)
+    few = lexicon.limit(most + 1).collect()
+    if len(few) <= most:
+        bits, streets = ({r["word"]: r[kind] for r in few if r[kind] >= least} for kind, least in (("bits", WORD_BITS), ("street_bits", STREET_BITS)))
+        return rows.mapInArrow(carried(bits, streets), schema)
     return with_words(rows, lexicon).mapInArrow(_joined_batches(redacting), schema)
 
 
-def found(rows: DataFrame) -> DataFrame:
+def found(rows: DataFrame, carried_words: int = CARRIED_WORDS) -> DataFrame:
     """``table_name, row_id, pii_type``: one row per type that a text mentions."""
-    out = _run(rows.filter("row_id is not null and text is not null"), _find_batches, False, "table_name string, row_id bigint, pii_type string")
+    out = _run(rows.filter("row_id is not null and text is not null"), _find_batches, False, "table_name string, row_id bigint, pii_type string", carried_words)
     return out.distinct()
 
 
-def redacted(rows: DataFrame) -> DataFrame:
+def redacted(rows: DataFrame, carried_words: int = CARRIED_WORDS) -> DataFrame:
     """``table_name, row_id, text`` of all rows, each mention replaced by its placeholder."""
-    return _run(rows.select("table_name", "row_id", "text"), _redact_batches, True, "table_name string, row_id bigint, text string")
+    return _run(rows.select("table_name", "row_id", "text"), _redact_batches, True, "table_name string, row_id bigint, text string", carried_words)
 
 
 def surprise(share: float, rate: float) -> float:

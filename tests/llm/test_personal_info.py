@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,12 +31,62 @@ def test_mentions(text, want):
 
 @pytest.mark.parametrize("text,want", CASES)
 def test_the_cheap_filter_lets_every_mention_through(text, want):
-    import pyarrow as pa
-
-    hit = p._candidates(pa.array([text]), tuple(sorted(BITS)))[0].as_py()
+    hit = p._candidates(pa.array([text]), p.letter_runs(list(BITS)))[0].as_py()
     assert hit or not want
 
 
+def _shape(r: random.Random) -> str:
+    """Something like a mention, with separators, brackets and spaces of all kinds."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    sep = lambda: r.choice(["", " ", ".", "-"])
+    gap = lambda: r.choice([" ", "\t", "\n", "\u00a0", "\u2003"])
+    kinds = [
+        lambda: r.choice(["+84", "(+84)", "0084", "84", "0", "(84)"]) + sep() + r.choice(["", "(0)"]) + r.choice("3456789") + d(2) + sep() + d(3) + sep() + d(r.choice([3, 4])),
+        lambda: r.choice(["", "1-", "1.", "1 ", "+1", "+1 "]) + r.choice(["", "("]) + r.choice("23456789") + d(2) + r.choice(["", ")"]) + r.choice(" .-") + r.choice("23456789") + d(2) + r.choice(" .-") + d(4),
+        lambda: "+" + d(r.choice([1, 2, 3])) + "".join(sep() + r.choice([d(3), f"({d(2)})", d(4)]) for _ in range(r.choice([3, 4]))) + d(2),
+        lambda: r.choice(["CCCD", "Passport", "hộ chiếu", "national ID", "id no."]) + r.choice([" ", ": ", " số "]) + r.choice(["", "B"]) + r.choice([" ", "."]).join(d(1) for _ in range(r.choice([7, 8, 9, 12]))),
+        lambda: r.choice(["a.b", "x_9", "q"]) + r.choice(["@", " @ ", " (at) ", "[a còng]", " a còng "]) + "lop" + r.choice([".", " chấm ", "(dot)", "[.]"]) + "example",
+        lambda: r.choice(["", "số" + gap(), "Nhà" + gap()]) + d(2) + r.choice(["", "B", "/12"]) + r.choice([",", ""]) + gap() + r.choice(["đường", "Phố", "đ.", "đại lộ", "hẻm 3" + gap() + "đường"]) + r.choice(["", gap()]) + "Gió" + gap() + "Lành",
+        lambda: d(3) + gap() + "Heron" + gap() + r.choice(["", "Steps "]) + r.choice(["Street", "Rd", "Lane."]),
+        lambda: r.choice(["", "số "]) + d(2) + r.choice(["B", "/7", ""]) + " Lê Lợi" + r.choice(["", ", phường Ba", " Đà Nẵng"]),
+        lambda: r.choice(["tên là", "Họ tên:", "my name is"]) + gap() + r.choice(["Orvane Tulquist", "orvel brisk,"]),
+        lambda: "nguyễn" + " " + "diệu",
+    ]
+    return r.choice(["", "Gọi ", "x, ", "("]) + r.choice(kinds)() + r.choice(["", ".", " nhé", ")"])
+
+
+def test_the_cheap_filter_lets_every_generated_mention_through():
+    r = random.Random(7)
+    runs, streets = p.letter_runs(list(BITS)), {"lê": 5.0, "lợi": 5.0}
+    texts = [t for _ in range(20_000) for t in [_shape(r)]] + ["1-212-555-0123", "1.415.555.0123"]
+    hit = p._candidates(pa.array(texts), runs).to_pylist()
+    kinds = [{k for *_, k in p.mentions(t, BITS, streets)} for t in texts]
+    assert not [t for t, h, k in zip(texts, hit, kinds) if k and not h]
+    assert set().union(*kinds) == set(p.TYPES) and sum(map(bool, kinds)) > 8_000
+
+
+STREETS = {w: 6.0 for w in "nguyễn huệ lê lợi trần phú".split()}
+HOUSES = [
+    ("Em ở 12 Nguyễn Huệ, phường Bến Nghé, Quận 1", {"address"}), ("45B Lê Lợi Đà Nẵng", {"address"}), ("số 8 Trần Phú", {"address"}), ("12/3 Trần Phú nhé", {"address"}),
+    ("9 Hoa Sữa, phường 2", {"address"}), ("lớp 12 Trần Phú", set()), ("số 8 Hoa Sữa", set()), ("khoá 45B Hoa Sữa", set()), ("12 ngày lê lợi, quận 2", set()), ("phường 9, quận 2", set()),
+]
+
+
+@pytest.mark.parametrize("text,want", HOUSES)
+def test_words_of_streets_disclose_a_house_number(text, want):
+    assert {k for *_, k in p.mentions(text, {}, STREETS)} == want
+    assert not want or p._candidates(pa.array([text]), p.letter_runs([]))[0].as_py()
+
+
+def test_street_words_are_learned(spark):
+    data = [(i, f"Em ở {i} đường {s}, quận 3", "") for i, s in enumerate(["Trần Phú", "Lê Lợi", "Nguyễn Huệ"] * 4, 1)] + [(100 + i, f"Học phí kỳ {i} là bao nhiêu, hỏi phòng đào tạo", "") for i in range(100)]
+    data += [(900, "gửi về số 8 Trần Phú giúp em", ""), (901, "gửi về số 8 phòng đào tạo", "")]
+    for carried in (p.CARRIED_WORDS, 0):
+        got = {r.row_id for r in p.found(rows(spark, data), carried).collect() if r.pii_type == "address"}
+        assert got == {*range(1, 13), 900}
+    assert {r.row_id: r.text for r in p.redacted(rows(spark, data)).collect()}[900] == "gửi về [ADDRESS] giúp em"
+
+
 def test_redaction_keeps_the_rest():
     text = "Chào bạn Kiều Văn Đoan, gọi 0951 501 693 hoặc a@b.example nhé."
     assert p.redact(text, BITS) == "Chào bạn [NAME], gọi [PHONE] hoặc [EMAIL] nhé."
@@ -57,11 +110,10 @@ def test_names_are_learned_and_found_without_a_cue(spark):
     assert texts[900] == "nhờ [NAME] xem giúp" and texts[901] is None and texts[902] == "" and texts[150] == data[18 + 50][1]
 
 
-def test_a_lexicon_too_large_to_carry_is_joined(spark, monkeypatch):
+def test_a_lexicon_too_large_to_carry_is_joined(spark):
     data = [*CORPUS, (900, "nhờ quách văn khuê xem giúp", "")]
     want = p.found(rows(spark, data)).collect(), p.redacted(rows(spark, data)).collect()
-    monkeypatch.setattr(p, "CARRIED_WORDS", 0)
-    got = p.found(rows(spark, data)).collect(), p.redacted(rows(spark, data)).collect()
+    got = p.found(rows(spark, data), 0).collect(), p.redacted(rows(spark, data), 0).collect()
     assert [set(x) for x in got] == [set(x) for x in want]
 
 
@@ -88,16 +140,31 @@ def test_an_introduced_name_needs_no_other_rows(spark):
         assert [done[i] for i in (0, 1, 2, 3)] == ["My name is [NAME].", "em tên là [NAME] ạ", "họ tên: [NAME], lớp 12", texts[3]]
 
 
-def test_a_lexicon_too_large_for_one_pattern_is_searched_in_parts():
-    import pyarrow as pa
+def _rare(i: int) -> str:
+    return "".join("bcdghklmnpqrstvx"[i // 16**k % 16] + "aeiou"[(i + k) % 5] for k in range(4))
+
+
+def test_any_number_of_telling_words_is_looked_up():
+    words = sorted({*BITS, *map(_rare, range(60_000))})
+    texts = ["nhờ nguyễn diệu đoan hỏi", "học phí bao nhiêu", "Zed Đoan", None, ""]
+    assert len(words) > 60_000 and p._candidates(pa.array(texts), p.letter_runs(words)).to_pylist() == [True, False, True, False, False]
+
+
+def test_both_ways_agree_on_a_lexicon_of_sixty_thousand_words(spark):
+    import unicodedata
 
-    words = tuple(sorted({*BITS, *("".join(chr(0x1EA1 + 2 * (i // 20**k % 20)) for k in range(6)) for i in range(20_000))}))
-    texts = ["nhờ nguyễn diệu đoan hỏi", "học phí bao nhiêu", "Zed Đoan"]
-    assert p._candidates(pa.array(texts), words).to_pylist() == [True, False, True]
-    assert p._candidates(pa.array(texts), words[: p.PATTERN_WORDS]).to_pylist()[1] is False
+    name = lambda i: " ".join(_rare(3 * i + k).title() for k in range(3))
+    data = [(i, ". ".join(f"Em tên là {name(7 * i + k)}" for k in range(7)) + ". Học phí kỳ này là bao nhiêu vậy ạ" * 120, "") for i in range(3_000)]
+    data += [(50_000 + i, unicodedata.normalize("NFD", f"tôi là {name(i).lower()} hỏi").replace("hỏi", "ｈỏi"), "") for i in range(0, 21_000, 100)]
+    table = rows(spark, data).repartition(8).cache()
+    assert p.learn(table).count() > 60_000
+    want, got = (p.found(table, n) for n in (200_000, 50_000))
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+    assert want.filter("row_id >= 50000 and pii_type = 'name'").count() == 210
+    table.unpersist()
 
 
-def test_disguised_names_are_joined_as_they_are_carried(spark, monkeypatch):
+def test_disguised_names_are_joined_as_they_are_carried(spark):
     import unicodedata
 
     name = "gửi bạn quách văn khuê xem giúp"
@@ -105,6 +172,5 @@ def test_disguised_names_are_joined_as_they_are_carried(spark, monkeypatch):
     data = [*CORPUS, *[(900 + i, t, "") for i, t in enumerate([name, *odd])], (950, None, "")]
     want = p.found(rows(spark, data)).collect(), p.redacted(rows(spark, data)).collect()
     assert {900 + i for i in range(6)} <= {r.row_id for r in want[0] if r.pii_type == "name"}
-    monkeypatch.setattr(p, "CARRIED_WORDS", 0)
-    got = p.found(rows(spark, data)).collect(), p.redacted(rows(spark, data)).collect()
+    got = p.found(rows(spark, data), 0).collect(), p.redacted(rows(spark, data), 0).collect()
     assert [set(x) for x in got] == [set(x) for x in want]
