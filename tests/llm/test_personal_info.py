@@ -154,13 +154,13 @@ def test_both_ways_agree_on_a_lexicon_of_sixty_thousand_words(spark):
     import unicodedata
 
     name = lambda i: " ".join(_rare(3 * i + k).title() for k in range(3))
-    data = [(i, ". ".join(f"Em tên là {name(7 * i + k)}" for k in range(7)) + ". Học phí kỳ này là bao nhiêu vậy ạ" * 120, "") for i in range(3_000)]
+    data = [(i, ". ".join(f"Em tên là {name(7 * i + k)}" for k in range(7)) + ".", "") for i in range(3_000)]
+    data += [(40_000 + i, "Học phí kỳ này là bao nhiêu vậy ạ. " * 5_000, "") for i in range(64)]
     data += [(50_000 + i, unicodedata.normalize("NFD", f"tôi là {name(i).lower()} hỏi").replace("hỏi", "ｈỏi"), "") for i in range(0, 21_000, 100)]
     table = rows(spark, data).repartition(8).cache()
     assert p.learn(table).count() > 60_000
-    want, got = (p.found(table, n) for n in (200_000, 50_000))
-    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
-    assert want.filter("row_id >= 50000 and pii_type = 'name'").count() == 210
+    want, got = ({tuple(r) for r in p.found(table, n).collect()} for n in (200_000, 50_000))
+    assert want == got and sum(1 for _, i, kind in want if i >= 50_000 and kind == "name") == 210
     table.unpersist()
 
 
