@@ -375,14 +375,15 @@ def _joined_batches(redacting: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = plain_texts(b.column("text")).to_pylist()
-            words = b.column("words").to_pylist()
+            plain = plain_texts(b.column("text"))
+            hit = pc.or_(_candidates(plain, letter_runs([])), pc.is_valid(b.column("words"))).to_pylist()
+            texts, words = plain.to_pylist(), b.column("words").to_pylist()
             bits, streets = ([{x["word"]: x[kind] for x in ws or () if x[kind] >= least} for ws in words] for kind, least in (("bits", WORD_BITS), ("street_bits", STREET_BITS)))
             keys = list(zip(b.column("table_name").to_pylist(), b.column("row_id").to_pylist()))
             if redacting:
-                rows = [(*k, t if t is None else redact(t, w, s)) for k, t, w, s in zip(keys, texts, bits, streets)]
+                rows = [(*k, redact(t, w, s) if h and t else t) for h, k, t, w, s in zip(hit, keys, texts, bits, streets)]
             else:
-                rows = [(*k, kind) for k, t, w, s in zip(keys, texts, bits, streets) if t for kind in sorted({x for *_, x in mentions(t, w, s)})]
+                rows = [(*k, kind) for h, k, t, w, s in zip(hit, keys, texts, bits, streets) if h and t for kind in sorted({x for *_, x in mentions(t, w, s)})]
             kinds = (pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[*_KEYS, "text" if redacting else "pii_type"])
 
