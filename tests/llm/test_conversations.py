@@ -4,13 +4,13 @@ import random
 from quern.llm import conversations as c
 
 M = "id bigint, conversation_id bigint, role string, content string, created_at timestamp_ntz, sources string, sender string"
-C = "id bigint, created_at timestamp_ntz, role string"
+C = "id bigint, user_id bigint, created_at timestamp_ntz, role string"
 T0 = dt.datetime(2024, 1, 1)
 
 
-def frames(spark, messages, conversations):
+def frames(spark, messages, conversations, users=None):
     rows = [(i, conv, role, text, None if at is None else T0 + dt.timedelta(seconds=at), "[]", "z") for i, conv, role, text, at in messages]
-    return spark.createDataFrame(rows, M), spark.createDataFrame([(i, T0, "x") for i in conversations], C)
+    return spark.createDataFrame(rows, M), spark.createDataFrame([(i, (users or {}).get(i), T0, "x") for i in conversations], C)
 
 
 def reasons(spark, messages, conversations):
@@ -60,18 +60,49 @@ def test_offsets_of_a_shifted_clock_are_found_and_corrected(spark):
             messages += [(i, conv, "user", "q", at), (i + 1, conv, "bot", "a", at + late - 60)]
             i, at = i + 2, at + 200
     m, convs = frames(spark, messages, range(300))
-    rows = c.message_rows(m)
-    offsets = c.clock_offsets(rows)
-    assert abs((offsets["bot"] - offsets["user"]) - 57) < 4
-    assert c.dropped(m, convs).filter("reason = 'broken'").count() < 15  # without correction all are
+    offsets = c.clock_offsets(c.reply_gaps(c.message_rows(m)))
+    assert 57 < offsets["bot"] - offsets["user"] < 62
+    assert c.dropped(m, convs).count() == 0  # without correction all are broken
+    assert {r["shift"] > 0 for r in c.rebuilt(m, convs).filter("role = 'assistant'").collect()} == {True}
+
+
+def test_clocks_off_by_hours_are_found_in_small_tables_too(spark):
+    messages = [x for i in range(12) for x in ((2 * i, i, "user", "q", i * 100_000), (2 * i + 1, i, "bot", "a", i * 100_000 + 4 - 7 * 3600))]
+    m, convs = frames(spark, messages, range(12))
+    assert abs(sum((1 if k == "bot" else -1) * v for k, v in c.clock_offsets(c.reply_gaps(c.message_rows(m))).items()) - 7 * 3600 + 4) < 1
+    assert c.dropped(m, convs).count() == 0
+
+
+def test_the_clock_of_one_user_is_set_right(spark):
+    messages, i = [], 0
+    for conv in range(40):  # two of four conversations of each user; user 3 is 90 s ahead
+        ahead = 90 if conv % 10 == 3 else 0
+        for turn in range(4):
+            at = conv * 1000 + turn * 200
+            messages += [(i, conv, "user", f"q{turn}", at + ahead), (i + 1, conv, "bot", f"a{turn}", at + 3 + turn)]
+            i += 2
+    m, convs = frames(spark, messages, range(40), {conv: conv % 10 for conv in range(40)})
+    assert c.clock_offsets(c.reply_gaps(c.message_rows(m))) == {}
+    assert c.dropped(m, convs).count() == 0
+    got = c.rebuilt(m, convs).filter("conversation_id = 13").orderBy("turn_no").collect()
+    assert [r.content for r in got] == ["q0", "a0", "q1", "a1", "q2", "a2", "q3", "a3"] and {r["shift"] < 0 for r in got if r.role == "user"} == {True}
+    assert c.rebuilt(m, convs).filter("conversation_id % 10 <> 3 and shift <> 0").count() == 0
 
 
 def test_late_rows_do_not_move_clocks(spark):
     messages = []
     for conv in range(200):
         messages += [(2 * conv, conv, "user", "q", conv * 100), (2 * conv + 1, conv, "assistant", "a", conv * 100 + (5 if conv % 5 else -40))]
-    assert c.clock_offsets(c.message_rows(frames(spark, messages, [])[0])) == {}
-    assert c.solve_offsets([]) == {}
+    gaps = c.reply_gaps(c.message_rows(frames(spark, messages, [])[0]))
+    assert c.clock_offsets(gaps) == {} and c.solve_offsets([]) == {}
+    one = frames(spark, messages[:2], [0], {0: 1})
+    assert c.user_offsets(c.reply_gaps(c.message_rows(one[0])), {}, one[1]).count() == 0
+
+
+def test_rows_without_id_keep_their_contents(spark):
+    messages = [(None, 1, "user", "hỏi", 1), (None, 1, "bot", "đáp", 2), (None, 1, "user", "nữa", 3), (None, 1, "bot", "đáp", 4), (None, 1, "system", "đáp", 5), (None, 1, "system", "đáp", 5)]
+    got = c.rebuilt(*frames(spark, messages, [1])).orderBy("turn_no").collect()
+    assert [(r.id, r.content) for r in got] == [(None, x) for x in ("hỏi", "đáp", "nữa", "đáp", "đáp", "đáp")]
 
 
 def test_one_conversation_with_most_rows_matches_brute_force(spark):
