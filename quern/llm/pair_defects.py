@@ -2,7 +2,7 @@
 
 Copied responses are measured by traversing the suffix automaton of the prompt's words: it gives, for
 every word of the response, the longest run ending there that the prompt contains. Refusals are found by
-an automaton of refusal phrases, cut-off answers by a stack of open brackets and marks and by how the
+automata, one of refusal phrases and some of how sentences decline (a negation with a word for answering), cut-off answers by a stack of open brackets and marks and by how the
 last line ends, and answers in another language by votes of stopwords and scripts.
 
 A pair has at most one defect: the first that holds of empty, refusal, copies_question, other_language,
@@ -45,6 +45,16 @@ REFUSALS = (
 )
 # Who speaks in a refusal that could also be said of others, folded.
 _SPEAKERS = re.compile(r"\b(?:toi|minh|tro ly|em|chung toi|he thong|i|me|we|assistant|system|request|question|yeu cau|cau hoi|ban ghi|thong tin|information|noi dung|this|phan nay|answer)\b")
+# How sentences decline beyond the phrases above, folded: a negation, few words, a word for answering.
+_DECLINES = re.compile(
+    r"\b(?:khong|chua|chang|ko|chiu khong|ngung|tam dung)(?: \w+){0,3} (?:tra loi|giai dap|cung cap|ho tro|giup|tu van|dap ung|phan hoi|ban luan|binh luan|thao luan|de cap|noi|tiet lo|chia se|xu ly|dua ra)\b"
+    r"|\b(?:vuot|vuot qua|vuot ngoai|ngoai|khong thuoc|khong nam trong)(?: \w+){0,1} (?:pham vi|kha nang|tham quyen|quyen han|linh vuc|chuc nang|nhiem vu)\b"
+    r"|\b(?:xin|danh|dau) (?:\w+ ){0,3}(?:de ngo|bo qua|bo trong|kieu|tu choi|khat)\b|\bde (?:\w+ ){0,4}(?:bo ngo|khong tra loi)\b"
+    r"|\b(?:cannot|can t|can not|could not|couldn t|won t|will not|would not|wouldn t|unable to|not able to|refuse to|refusing to|declin\w+ to|must not|may not|not going to|prefer not to|not in a position to|not free to|not allowed to|not authori[sz]ed to|do not|don t|am not)"
+    r"(?: \w+){0,3} (?:answer|answering|respond|reply|help|assist|provide|discuss|comment|tell|say|address|share|give|offer|advise)\b"
+    r"|\b(?:leave|leaving|left|stay|stays|remain|remains|go|goes)(?: \w+){0,4} unanswered\b|\bno (?:answer|reply|response|comment)\b|\b(?:outside|beyond|out of)(?: \w+){0,2} (?:scope|remit|area|reach|knowledge|abilities|ability|powers|authority)\b"
+    r"|\b(?:nothing|not anything|not something)(?: \w+){0,3} (?:i|we) (?:can|could|may|am able to|am allowed to|are able to)\b|\b(?:against|violates?)(?: \w+){0,3} (?:rules|policy|guidelines)\b"
+)
 # Sentences that close a refusal without adding anything, folded.
 _CLOSING = re.compile(
     r"^(?:(?:da |vang )?(?:rat )?(?:cam on|xin cam on|xin loi|rat tiec|tiec qua|mong ban|thanh that|hy vong)\b|(?:ban )?(?:vui long|xin vui long|hay|co the)\b.*\b(?:lien he|hoi|cau hoi khac|thu lai|gap|quay lai|dat cau hoi)\b"
@@ -57,8 +67,8 @@ _ASKING = frozenset("bao nhiêu mấy gì nào đâu không chưa sao ai nhỉ h
 _ASKING_PLAIN = frozenset("bao nhieu may gi nao dau khong chua sao ai nhi ha what when where how which who why can could is are do does may should will has have".split())
 # Frequent words of some languages, folded as in ``words`` but with their accents.
 STOPWORDS = {
-    "vi": "là của và có được không các cho với trong này khi tại từ đến những một người để theo thì đã bạn phải nộp hồ sơ học ngày sinh viên đồng mình em cần hoặc qua trước sau mở cửa ngành phí",
-    "vi_plain": "la cua va co duoc khong cac cho voi trong nay khi tai tu den nhung mot nguoi de theo thi da ban phai nop ho hoc ngay sinh vien dong minh em can hoac qua truoc sau nganh phi bao nhieu lam tren nao gi dau mat hoi lau xin cau thu tuc khoa phong van lay chi tieu hoan chuyen mo cua",
+    "vi": "là của và có được không các cho với trong này khi tại từ đến những một người để theo thì đã bạn phải mình em cần hoặc qua trước sau như rất nếu vì sẽ còn rồi đó nào gì ở do về trên dưới vào ra lại cũng mà nên hay bị bởi đang vẫn mỗi nhiều ai sao đâu bao nhiêu hết lúc ngày năm giờ",
+    "vi_plain": "la cua va co duoc khong cac cho voi trong nay khi tai tu den nhung mot nguoi de theo thi da ban phai minh em can hoac qua truoc sau nhu rat neu vi se con roi do nao gi o ve tren duoi vao ra lai cung ma nen hay bi boi dang van moi nhieu ai sao dau bao nhieu het luc ngay nam gio lam mat hoi lau xin cau",
     "en": "the of and to in is you for that it with on are be this as have or your from by an at not which we can will if may must do does what how where when there has was",
     "fr": "le la les des est et une du pour dans que vous sur au avec ce par plus pas sont votre aux ou cette d l il elle nous qui",
     "es": "el los las de y una para por con su se del al es en que lo como más está son debe sus o un le usted",
@@ -187,7 +197,7 @@ def copies(prompt: str, response: str, least: int = 2, share: float = 0.7) -> bo
         automaton = automaton or SuffixAutomaton(asked)
         asks_at = asking(sentence, said)
         hit = covered(automaton.runs(said), min(least, len(asked)))
-        if k == 0 and (m := re.match(r"^[^:“\"«]{0,60}?[:“\"«]\s*", sentence)) and 0 < (lead := len(words(m.group()))) < len(said) and not any(hit[:lead][:2]):
+        if k == 0 and (m := re.match(r"^[^:“\"«]*[:“\"«]\s*", sentence)) and 0 < (lead := len(words(m.group()))) < len(said) and not any(hit[:lead][:2]):
             said, hit = said[lead:], hit[lead:]
             asks_at = asking(sentence[m.end() :], said)
         n = sum(hit)
@@ -209,16 +219,23 @@ def _refusal_automaton() -> ahocorasick.Automaton:
     return a
 
 
-def refuses(response: str) -> bool:
-    """Whether the response declines and says nothing else. A question back or an offer to search is no refusal."""
-    seen = False
+def refuses(response: str, prompt: str = "") -> bool:
+    """Whether the response declines and says nothing else. A question back or an offer to search is no refusal.
+
+    A sentence with a number that the prompt lacks informs, one that only repeats the prompt's doesn't.
+    """
+    seen, asked = False, None
     for sentence in _SENTENCES.split(response):
         said = " ".join(words(_QUOTED.sub(" ", sentence)))
         if not said and not words(sentence):
             continue
         if sentence.rstrip().rstrip("\"”»").endswith(("?", "？")) or (_OFFER.search(said) and re.search(r"\b(?:dong y|co muon|shall i|may i|would you like|do you want|neu ban|if you)\b", said)):
             return False
-        if len(said) < 240 and any(True for _ in _refusal_automaton().iter(f" {said} ")) and _SPEAKERS.search(said) and not any(c.isdigit() for c in said):
+        if (any(True for _ in _refusal_automaton().iter(f" {said} ")) or _DECLINES.search(said)) and _SPEAKERS.search(said):
+            if numbers := [w for w in said.split() if any(c.isdigit() for c in w)]:
+                asked = set(words(prompt)) if asked is None else asked
+                if not asked.issuperset(numbers):
+                    return False
             seen = True
         elif not _CLOSING.match(said):
             return False
@@ -246,6 +263,8 @@ def language_votes(text: str) -> Counter:
         syllables = sum(1 for w in letters if _SYLLABLE.match(w))
         if syllables >= 0.65 * len(letters) and plain > votes["en"]:  # Vietnamese typed without accents: all words are its syllables
             votes["vi"] += len(letters)
+        elif plain >= 2 and plain > max(votes.values(), default=0):  # or mixed with foreign terms: no other language has as many of its words
+            votes["vi"] += plain
     return +votes
 
 
@@ -257,12 +276,16 @@ def language(text: str, least: int = 2) -> str | None:
     return ranked[0][0]
 
 
+_OPENING = frozenset(_BRACKETS.values())
+_ANY_BRACKET = re.compile("[" + re.escape("".join({*_BRACKETS, *_OPENING})) + "]")
+
+
 def _open_marks(text: str) -> bool:
     stack: list[str] = []
-    for c in text:
-        if c in _BRACKETS.values():
+    for c in _ANY_BRACKET.findall(text):
+        if c in _OPENING:
             stack.append(c)
-        elif c in _BRACKETS and stack and stack[-1] == _BRACKETS[c]:
+        elif stack and stack[-1] == _BRACKETS[c]:
             stack.pop()
     return bool(stack) or text.count("**") % 2 == 1 or text.count("```") % 2 == 1
 
@@ -315,7 +338,7 @@ def defect(prompt: str | None, response: str | None) -> str | None:
     said = words(response or "")
     if not said or " ".join(said) in PLACEHOLDERS:
         return "empty"
-    if refuses(response):
+    if refuses(response, prompt or ""):
         return "refusal"
     if copies(prompt or "", response):
         return "copies_question"

@@ -63,3 +63,26 @@ def test_rows_once_and_other_columns(spark):
     got = p.defects(df, F.col("id"), F.col("user_query"), F.col("llm_final_response"))
     assert sorted((r.id, r.defect) for r in got.collect()) == [(1, "empty"), (3, "empty"), (5, "truncated")]
     assert p.defects(df.limit(0), F.col("id"), F.col("user_query"), F.col("llm_final_response")).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "I won't answer that.", "I am afraid that is something I must leave unanswered.", "Câu này mình xin không trả lời nhé.", "Rất tiếc, " + "theo những quy định hiện hành về việc cung cấp nội dung cho người dùng thì " * 4 + "mình không thể trả lời câu hỏi này.",
+    "Về năm 2024, mình không có thông tin.", "This question is outside my area, sorry.",
+])
+def test_refusals_of_any_length_and_wording(text):
+    assert p.defect("Năm 2024 học phí là bao nhiêu?", text) in ("refusal", "other_language") and p.refuses(text, "Năm 2024 học phí là bao nhiêu?")
+
+
+@pytest.mark.parametrize("text", ["Mình không có thông tin năm 2025, năm 2024 là 5 triệu.", "Phòng không trả lời qua điện thoại.", "Trường không cung cấp chỗ ở, bạn hỏi phòng 205."])
+def test_sentences_that_inform_are_no_refusals(text):
+    assert not p.refuses(text, "Năm 2024 học phí là bao nhiêu?")
+
+
+def test_a_long_lead_in_before_a_copy():
+    asked = "Thủ tục bảo lưu kết quả học tập gồm những bước nào?"
+    assert p.defect(asked, "Dạ vâng, cảm ơn bạn đã gửi câu hỏi đến trợ lý của trường, câu hỏi mà bạn vừa gửi đến là: " + asked) == "copies_question"
+
+
+def test_foreign_terms_do_not_hide_the_language_of_a_question():
+    assert p.language("deadline submit form hoan thi tren lms la khi nao?", 1) == "vi"
+    assert p.defect("deadline submit form hoan thi tren lms la khi nao?", "The article covers how to change the programme and the fee is paid at the desk.") == "other_language"
