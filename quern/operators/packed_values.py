@@ -6,6 +6,11 @@ occurs and how often each kind of delimiter cuts, is learned from the whole colu
 over all cuttings of all texts. Viterbi's algorithm then takes the likeliest cutting of each text: a
 delimiter inside a value that the column knows as a whole stays uncut.
 
+A value with delimiters inside, of whatever length, has a place in the lattice if the column tells of it: each two
+neighbouring pieces of it stand together in different texts (spellings of one text are no different texts), in
+more than ``TOGETHER`` of those in which either of them stands. A text without such a pair has one cutting only; it adds the same to the counts in every
+round and is counted once. The rounds then run over the texts with a choice.
+
 Edge cases, all covered by tests: null, empty and blank texts and texts of delimiters alone have no
 value; rows with equal id count once; list marks and numbering are no values; a text in JSON notation
 counts by its elements (null and blank ones are not counted); an unclosed quote or bracket is ordinary
@@ -17,9 +22,9 @@ from __future__ import annotations
 import json
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -30,12 +35,10 @@ from quern.session import cut_lineage
 
 # Opening quotes and brackets with what closes them.
 CLOSERS = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "(": ")", "[": "]", "{": "}"}
-#: Longest value in pieces; a value with more delimiters inside than this is not considered.
-MAX_PIECES = 4
 #: Probability of a value that the column doesn't know, and the factor for each delimiter inside it.
 UNKNOWN, INSIDE = 1e-2, 1e-7
-#: Least occurrences of a value with delimiters inside for it to be considered at all.
-LEAST_WHOLE = 3
+#: Least share of the texts with either of two pieces that have them together, for them to be possibly one value.
+TOGETHER = 0.02
 #: Prior of a candidate delimiter being a cut, and the number of delimiters it counts for.
 CUT, CUT_WEIGHT = 0.9, 20.0
 
@@ -127,29 +130,42 @@ def clean_value(piece: str) -> str:
     return v
 
 
-def value_key(field: str, value: str) -> int:
-    return xxhash.xxh64_intdigest(f"{field}\n{' '.join(value.casefold().split())}") - 2**63
-
-
-@lru_cache(maxsize=4096)
-def layout(size: int) -> tuple[tuple[int, int], ...]:
-    """(first piece, piece after the last) of every value that a lattice of ``size`` pieces allows, in a fixed order."""
-    return tuple((i, j) for i in range(size) for j in range(i + 1, min(size, i + MAX_PIECES) + 1))
+_FORMAT = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 
 
-def segments(parts: list[tuple[str, str]]) -> list[str]:
-    """The values of a lattice in the order of ``layout``."""
-    return [value_of(parts, i, j) for i, j in layout(len(parts))]
+def value_key(field: str, value: str) -> bytes:
+    """128-bit digest of a value; values that differ in composition, case or spaces only are one."""
+    plain = " ".join(_FORMAT.sub("", unicodedata.normalize("NFKC", value)).casefold().split())
+    return xxhash.xxh3_128_digest(f"{field}\n{plain}")
 
 
 def value_of(parts: list[tuple[str, str]], i: int, j: int) -> str:
     return clean_value(parts[i][1] + "".join(f" {d} {p}" for d, p in parts[i + 1 : j]))
 
 
+def spans_of(size: int, together: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first piece, piece after the last) of every value that a lattice of ``size`` pieces allows.
+
+    ``together``: (k, texts) of each pair of pieces k and k + 1 that may be one value, in order. Longer values
+    are runs of such pairs. A value that begins or ends within a run stands in texts without the pair across
+    its end, so that pair has fewer texts than the one next to it inside; all other places are no ends.
+    """
+    out = [(i, i + 1) for i in range(size)]
+    texts = dict(together)
+    for start in (k for k in texts if k - 1 not in texts):
+        stop = start
+        while stop in texts:
+            stop += 1
+        inner = [k for k in range(start + 1, stop + 1) if texts[k - 1] < max(texts.get(k, 0) if k < stop else 0, texts[k - 2] if k - 2 >= start else 0)]
+        ends = [start, *inner, stop + 1]
+        out += [(i, j) for i in ends for j in ends if j - i > 1]
+    return sorted(out)
+
+
 Spans = list[tuple[int, int, float]]
 
 
-def span_weights(size: int, counts: list[float], total: float, marks: str, cuts: dict[str, float]) -> Spans:
+def span_weights(spans: list[tuple[int, int]], counts: list[float], total: float, marks: str, cuts: dict[str, float]) -> Spans:
     """(first piece, piece after the last, weight) of each span, whose values occur ``counts`` times among ``total``.
 
     The weight is the probability of the value, times that of its inner delimiters being no cuts and of
@@ -158,7 +174,7 @@ def span_weights(size: int, counts: list[float], total: float, marks: str, cuts:
     """
     cut = [cuts.get(d, CUT) for d in marks]
     out = []
-    for (i, j), c in zip(layout(size), counts):
+    for (i, j), c in zip(spans, counts):
         p = max(c / total, UNKNOWN) if j - i == 1 else max(0.0, c - 1) / total + UNKNOWN * INSIDE ** (j - i - 1)
         for k in range(i, j - 1):
             p *= 1 - cut[k]
@@ -168,22 +184,14 @@ def span_weights(size: int, counts: list[float], total: float, marks: str, cuts:
     return out
 
 
-def cohesion_weights(size: int, counts: list[float]) -> Spans:
+def cohesion_weights(spans: list[tuple[int, int]], counts: list[float]) -> Spans:
     """First weights of spans from raw occurrences: 1 for a piece, and for more pieces how exclusively they occur together.
 
     ``c(whole)^m / product of c(piece)`` over the ``m`` pieces is 1 if none is ever seen without the
     others, and falls fast with every other neighbour it has.
     """
-    alone = {i: c for (i, j), c in zip(layout(size), counts) if j - i == 1}
-    out = []
-    for (i, j), c in zip(layout(size), counts):
-        w = 1.0
-        if j - i > 1:
-            for k in range(i, j):
-                w *= c / alone[k]
-            w = w**4 if c >= LEAST_WHOLE else 0.0
-        out.append((i, j, w))
-    return out
+    alone = {i: c for (i, j), c in zip(spans, counts) if j - i == 1}
+    return [(i, j, math.prod(min(1.0, c / max(alone[k], c, 1e-9)) for k in range(i, j)) ** 4 if j - i > 1 else 1.0) for (i, j), c in zip(spans, counts)]
 
 
 def expected_counts(n: int, spans: Spans) -> list[float]:
@@ -231,28 +239,62 @@ def marks_of(parts: list[tuple[str, str]]) -> str:
     return "".join(d[0] for d, _ in parts[1:])
 
 
+_LATTICE = "sid binary, field string, text string, n bigint, size int, marks string, keys array<binary>, pairs array<binary>, content bigint"
+
+
 def _lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the values that each distinct text may hold. JSON lists are certain already: they have no marks and only their elements."""
+    """Keys of the pieces of each distinct text and of its pairs of neighbouring pieces. JSON lists are certain already: they have only their elements."""
     for b in batches:
-        fields, texts = b.column("field").to_pylist(), b.column("text").to_pylist()
-        sizes, marks, keys = [], [], []
-        for field, text in zip(fields, texts):
+        sizes, marks, keys, pairs, content = [], [], [], [], []
+        known: dict[tuple[str, str], bytes] = {}
+
+        def key(field: str, value: str) -> bytes:
+            if (got := known.get((field, value))) is None:
+                got = known[field, value] = value_key(field, value)
+            return got
+
+        for field, text in zip(b.column("field").to_pylist(), b.column("text").to_pylist()):
             items = json_items(text)
-            if items is None:
-                parts = pieces(text)
-                sizes.append(len(parts))
-                marks.append(marks_of(parts))
-                keys.append([value_key(field, v) for v in segments(parts)])
-            else:
-                sizes.append(len(items))
-                marks.append(None)
-                keys.append([value_key(field, clean_value(x)) for x in items])
-        columns = [b.column("sid"), b.column("field"), b.column("n"), pa.array(sizes, pa.int32()), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["sid", "field", "n", "size", "marks", "keys"])
+            parts = pieces(text) if items is None else []
+            items = [value_of(parts, i, i + 1) for i in range(len(parts))] if items is None else [clean_value(x) for x in items]
+            sizes.append(len(items))
+            marks.append(marks_of(parts))
+            keys.append([key(field, v) for v in items])
+            pairs.append([key(field, value_of(parts, i, i + 2)) for i in range(len(parts) - 1)])
+            content.append(xxhash.xxh64_intdigest("".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())) - 2**63)
+        columns = [*(b.column(c) for c in ("sid", "field", "text", "n")), pa.array(sizes, pa.int32()), pa.array(marks, pa.string())]
+        columns += [pa.array(keys, pa.list_(pa.binary())), pa.array(pairs, pa.list_(pa.binary())), pa.array(content, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["sid", "field", "text", "n", "size", "marks", "keys", "pairs", "content"])
+
+
+def choices(lattices: DataFrame) -> DataFrame:
+    """``sid, together``: the texts with more than one cutting, and their pairs of pieces that may be one value (position, texts with the pair)."""
+    singles = lattices.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("texts"))
+    at = lattices.filter("size > 1").select("sid", "keys", "content", F.posexplode("pairs").alias("pos", "pair"))
+    both = at.select("pair", F.get("keys", F.col("pos")).alias("left"), F.get("keys", F.col("pos") + 1).alias("right"), "content")
+    seen = both.groupBy("pair", "left", "right").agg(F.count("*").alias("texts"), F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high")
+    for side in ("left", "right"):
+        of = singles.select(F.col("key").alias(side), F.col("texts").alias(f"{side}_texts"))
+        seen = seen.join(of, side).filter(F.col("texts") > TOGETHER * F.col(f"{side}_texts"))
+    held = seen.groupBy("pair").agg(F.sum("texts").alias("texts"))
+    return at.select("sid", "pos", "pair").join(held, "pair").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "texts"))).alias("together"))
+
+
+def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the texts with a choice, with the keys of their values."""
+    for b in batches:
+        firsts, lasts, keys = [], [], []
+        for field, text, size, together in zip(*(b.column(c).to_pylist() for c in ("field", "text", "size", "together"))):
+            parts, spans = pieces(text), spans_of(size, [(x["pos"], x["texts"]) for x in together])
+            firsts.append([i for i, _ in spans])
+            lasts.append([j for _, j in spans])
+            keys.append([value_key(field, value_of(parts, i, j)) for i, j in spans])
+        columns = [*(b.column(c) for c in ("sid", "field", "n", "marks")), *(pa.array(x, pa.list_(pa.int32())) for x in (firsts, lasts)), pa.array(keys, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["sid", "field", "n", "marks", "first", "last", "keys"])
 
 
-_LATTICE = "sid bigint, field string, n bigint, size int, marks string, keys array<bigint>"
-_COUNT = "field string, key bigint, mark string, c double, n double"
+_SPANNED = "sid binary, field string, n bigint, marks string, first array<int>, last array<int>, keys array<binary>"
+_COUNT = "field string, key binary, mark string, c double, n double"
 
 
 def _estimate(step: int, totals: dict[str, float], cuts: dict[str, dict[str, float]]):
@@ -263,15 +305,16 @@ def _estimate(step: int, totals: dict[str, float], cuts: dict[str, dict[str, flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values: dict[tuple[str, int], float] = defaultdict(float)
+            values: dict[tuple[str, bytes], float] = defaultdict(float)
             cut: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
-            for field, n, size, marks, keys, counts in zip(*(b.column(c).to_pylist() for c in ("field", "n", "size", "marks", "keys", "counts"))):
-                if marks is None or size == 1 or not step:
+            for field, n, marks, first, last, keys, counts in zip(*(b.column(c).to_pylist() for c in ("field", "n", "marks", "first", "last", "keys", "counts"))):
+                if not step:
                     for k in keys:
                         values[field, k] += n
                     continue
-                weights = cohesion_weights(size, counts) if step == 1 else span_weights(size, counts, totals[field], marks, cuts.get(field, {}))
-                for k, (_, j), p in zip(keys, layout(size), expected_counts(size, weights)):
+                spans, size = list(zip(first, last)), len(marks) + 1
+                weights = cohesion_weights(spans, counts) if step == 1 else span_weights(spans, counts, totals[field], marks, cuts.get(field, {}))
+                for k, (_, j), p in zip(keys, spans, expected_counts(size, weights)):
                     if p > 1e-9:
                         values[field, k] += p * n
                         if j < size:
@@ -280,7 +323,7 @@ def _estimate(step: int, totals: dict[str, float], cuts: dict[str, dict[str, flo
                     cut[field, d][1] += n
             columns = {
                 "field": pa.array([*(f for f, _ in values), *(f for f, _ in cut)], pa.string()),
-                "key": pa.array([*(k for _, k in values), *(None for _ in cut)], pa.int64()),
+                "key": pa.array([*(k for _, k in values), *(None for _ in cut)], pa.binary()),
                 "mark": pa.array([*(None for _ in values), *(d for _, d in cut)], pa.string()),
                 "c": pa.array([*values.values(), *(c for c, _ in cut.values())], pa.float64()),
                 "n": pa.array([*(0.0 for _ in values), *(float(n) for _, n in cut.values())], pa.float64()),
@@ -290,27 +333,37 @@ def _estimate(step: int, totals: dict[str, float], cuts: dict[str, dict[str, flo
     return run
 
 
-def _looked_up(lattices: DataFrame, model: DataFrame) -> DataFrame:
-    """Lattices with what the model knows of their values (``counts``, in the order of ``keys``)."""
-    spans = lattices.select("sid", F.posexplode("keys").alias("pos", "key")).join(model.select("key", "c"), "key", "left")
+def _looked_up(spanned: DataFrame, model: DataFrame) -> DataFrame:
+    """Texts with a choice and what the model knows of their values (``counts``, in the order of ``keys``)."""
+    spans = spanned.select("sid", F.posexplode("keys").alias("pos", "key")).join(model.groupBy("key").agg(F.sum("c").alias("c")), "key", "left")
     known = spans.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("c", F.lit(0.0)).alias("c"))))["c"].alias("counts"))
-    return lattices.join(known, "sid")
-
-
-def learn_values(lattices: DataFrame, rounds: int = 3) -> tuple[DataFrame, dict[str, float], dict[str, dict[str, float]]]:
-    """(``key, c``: expected occurrences of each value, their sums by field, probability of a cut by field and delimiter) after ``rounds`` of EM over all texts."""
+    return spanned.join(known, "sid")
+
+
+def learn_values(lattices: DataFrame, chosen: DataFrame, spanned: DataFrame, rounds: int = 3) -> tuple[DataFrame, dict[str, float], dict[str, dict[str, float]]]:
+    """(``key, c``: expected occurrences of the values of texts with a choice, sums of all by field, probability of a cut by field and delimiter) after ``rounds`` of EM."""
+    certain = lattices.join(chosen.select("sid"), "sid", "left_anti")
+    there = spanned.select(F.explode("keys").alias("key")).distinct()
+    singles = certain.select("field", "n", F.explode("keys").alias("key")).groupBy("field", "key").agg(F.sum("n").cast("double").alias("c"))
+    fixed = cut_lineage(singles.join(there, "key", "left_semi").select("field", "key", "c"))
+    sums: dict[str, float] = {r[0]: float(r[1]) for r in certain.groupBy("field").agg(F.sum(F.col("n") * F.size("keys"))).collect()}
+    marks = certain.filter("marks <> ''").select("field", "n", F.explode(F.split("marks", "")).alias("mark")).filter("mark <> ''").groupBy("field", "mark").agg(F.sum("n"))
+    always: dict[tuple[str, str], float] = {(r[0], r[1]): float(r[2]) for r in marks.collect()}  # one row per column and kind of delimiter
     model, totals, cuts = None, {}, {}
     for step in range(rounds + 1):
-        known = _looked_up(lattices, model) if model is not None else lattices.withColumn("counts", F.lit(None).cast("array<double>"))
+        known = _looked_up(spanned, model) if model is not None else spanned.withColumn("counts", F.lit(None).cast("array<double>"))
         counts = cut_lineage(known.mapInArrow(_estimate(step, totals, cuts), _COUNT).groupBy("field", "key", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
-        model = counts.filter("mark is null").select("key", "c")
-        totals, cuts = {}, {}
-        sums = counts.groupBy("field", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-        for r in sums.collect():  # one row per column and kind of delimiter
+        model = counts.filter("mark is null").select("key", "c").unionByName(fixed.select("key", "c"))
+        totals, chance = dict(sums), {k: [c, c] for k, c in always.items()}
+        for r in counts.groupBy("field", "mark").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
             if r["mark"] is None:
-                totals[r["field"]] = r["c"]
+                totals[r["field"]] = totals.get(r["field"], 0.0) + r["c"]
             else:
-                cuts.setdefault(r["field"], {})[r["mark"]] = (r["c"] + CUT * CUT_WEIGHT) / (r["n"] + CUT_WEIGHT)
+                was = chance.setdefault((r["field"], r["mark"]), [0.0, 0.0])
+                was[0], was[1] = was[0] + r["c"], was[1] + r["n"]
+        cuts = {}
+        for (field, mark), (c, n) in chance.items():
+            cuts.setdefault(field, {})[mark] = (c + CUT * CUT_WEIGHT) / (n + CUT_WEIGHT)
     return model, totals, cuts
 
 
@@ -318,11 +371,13 @@ def _cut(totals: dict[str, float], cuts: dict[str, dict[str, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for field, text, size, counts in zip(*(b.column(c).to_pylist() for c in ("field", "text", "size", "counts"))):
+            for field, text, marks, first, last, counts in zip(*(b.column(c).to_pylist() for c in ("field", "text", "marks", "first", "last", "counts"))):
                 items = json_items(text)
                 if items is None:
                     parts = pieces(text)
-                    spans = best_cutting(size, span_weights(size, counts, totals[field], marks_of(parts), cuts.get(field, {}))) if size > 1 else layout(size)
+                    spans = [(i, i + 1) for i in range(len(parts))]
+                    if counts is not None:
+                        spans = best_cutting(len(parts), span_weights(list(zip(first, last)), counts, totals[field], marks, cuts.get(field, {})))
                     items = [value_of(parts, i, j) for i, j in spans]
                 out.append(items)
             yield pa.RecordBatch.from_arrays([b.column("field"), b.column("text"), pa.array(out, pa.list_(pa.string()))], names=["field", "text", "items"])
@@ -337,7 +392,7 @@ def distinct_texts(columns: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     for p in parts[1:]:
         union = union.unionByName(p)
     counts = union.filter(F.col("text").rlike(r"\S")).groupBy("field", "text").agg(F.count("*").alias("n"))
-    return counts.withColumn("sid", F.xxhash64("field", "text"))
+    return counts.withColumn("sid", F.unhex(F.md5(F.concat("field", F.lit("\n"), "text"))))
 
 
 def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds: int = 3) -> DataFrame:
@@ -346,11 +401,12 @@ def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds:
     ``columns``: name of the field, its table, its id column, its text column. Each field has its own
     value frequencies. A text with one value yields that one row.
     """
-    texts = cut_lineage(distinct_texts([(name, df, text) for name, df, _, text in columns]))
-    lattices = cut_lineage(texts.mapInArrow(_lattice, _LATTICE))
-    model, totals, chances = learn_values(lattices, rounds)
-    known = _looked_up(lattices, model).select("sid", "size", "counts")
-    cuts = texts.join(known, "sid").select("field", "text", "size", "counts").mapInArrow(_cut(totals, chances), "field string, text string, items array<string>")
+    lattices = cut_lineage(distinct_texts([(name, df, text) for name, df, _, text in columns]).mapInArrow(_lattice, _LATTICE))
+    chosen = cut_lineage(choices(lattices))
+    spanned = cut_lineage(lattices.join(chosen, "sid").mapInArrow(_spanned, _SPANNED))
+    model, totals, chances = learn_values(lattices, chosen, spanned, rounds)
+    known = _looked_up(spanned, model).select("sid", "first", "last", "counts")
+    cuts = lattices.join(known, "sid", "left").select("field", "text", "marks", "first", "last", "counts").mapInArrow(_cut(totals, chances), "field string, text string, items array<string>")
     rows = None
     for name, df, rid, text in columns:
         part = df.select(F.lit(name).alias("field"), rid.alias("row_id"), text.cast("string").alias("text")).dropDuplicates(["row_id"])

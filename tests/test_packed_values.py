@@ -86,3 +86,30 @@ def test_viterbi_and_forward_backward_match_brute_force(seed):
     total = sum(map(prob, every))
     want = [sum(prob(c) for c in every if (i, j) in c) / total for i, j, _ in spans]
     assert all(abs(a - b) < 1e-9 for a, b in zip(p.expected_counts(n, spans), want))
+
+
+def test_places_in_a_run_where_values_may_end():
+    assert p.spans_of(3, []) == [(0, 1), (1, 2), (2, 3)]
+    assert p.spans_of(4, [(0, 5), (1, 5)]) == [(0, 1), (0, 3), (1, 2), (2, 3), (3, 4)]
+    assert p.spans_of(4, [(0, 5), (1, 2), (2, 5)]) == [(0, 1), (0, 2), (0, 4), (1, 2), (2, 3), (2, 4), (3, 4)]
+    assert len(p.spans_of(2000, [(k, 2) for k in range(1999)])) == 2001
+
+
+def test_a_value_of_any_number_of_pieces_stays_uncut_if_the_column_knows_it(spark):
+    whole = "Khoa / Phòng / Ban / Tổ / Nhóm / Đội / Quầy"
+    texts = [whole] * 60 + [f"{whole}; Đơn"] * 5 + [f"Thẻ; {whole}"] * 5 + [f"{a}; {b}" for a in ("Đơn", "Thẻ", "Sổ") for b in ("Ảnh", "Bản", "Học bạ")] * 9
+    got = split(spark, texts)
+    assert got[0] == [whole] and got[60] == [whole, "Đơn"] and got[65] == ["Thẻ", whole] and got[70] == ["Đơn", "Ảnh"]
+
+
+def test_copies_of_one_text_tell_of_no_whole_value(spark):
+    texts = ["Phiếu 17 / Sổ 99"] * 40 + ["phiếu 17  /  Sổ 99"] * 3 + ["Đơn; Thẻ"] * 40 + ["Thẻ; Ảnh"] * 40
+    got = split(spark, texts)
+    assert got[0] == ["Phiếu 17", "Sổ 99"] and got[-1] == ["Thẻ", "Ảnh"]
+
+
+def test_keys_join_spellings_of_one_value():
+    import unicodedata
+
+    assert len({p.value_key("f", v) for v in ("Học bạ", "học  bạ", unicodedata.normalize("NFD", "Học bạ"), "Học\u200b bạ")}) == 1
+    assert len(p.value_key("f", "x")) == 16 and p.value_key("f", "x") != p.value_key("g", "x")
