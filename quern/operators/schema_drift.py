@@ -124,13 +124,23 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(columns, names=["job_id", "header", *_STATS])
 
 
+def once_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key. Only rows whose key comes more than once are moved; all others stay where and in the order they lie.
+
+    Rows without a key are one row, as ``dropDuplicates`` has it.
+    """
+    again = rows.groupBy(key).count().filter("count > 1").select(F.col(key).alias("__again"))
+    same = rows[key].eqNullSafe(again["__again"])
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 def column_profiles(records: DataFrame) -> DataFrame:
     """``job_id, header`` (folded)``, n_<kind>..., s0...``: kinds and value sketch of every column of every job.
 
     Batches are profiled where they lie, so a job with a third of all records sends only a few partial
     rows for each of its columns to the one task that adds them up.
     """
-    rows = records.select("row_id", "job_id", "body").filter("job_id is not null").dropDuplicates(["row_id"])
+    rows = once_each(records.select("row_id", "job_id", "body").filter("job_id is not null"), "row_id")
     parts = rows.select("job_id", "body").mapInArrow(_profile_batches, "job_id string, header string, " + ", ".join(f"{c} bigint" for c in _STATS))
     sums = [F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS]
     return parts.groupBy("job_id", "header").agg(*sums, *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
@@ -266,7 +276,7 @@ def job_sequence(jobs: DataFrame) -> DataFrame:
     return lag_rows(order, ["domain"], ["at", "id"], F.col("id"), "before").select("id", "domain", "at", "before")
 
 
-def drift(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -> tuple[DataFrame, DataFrame]:
+def drift(jobs: DataFrame, records: DataFrame, likeness: float = 0.35) -> tuple[DataFrame, DataFrame]:
     """(all column matches and changes, readable jobs). ``likeness``: least similarity of a pair that shares neither key nor header."""
     read = cut_lineage(readable_jobs(jobs))
     stats = column_profiles(records)
@@ -279,7 +289,7 @@ def drift(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -> tuple[
     return both.mapInArrow(_compare(likeness), ", ".join(f"{c} string" for c in _CHANGE)), read
 
 
-def schema_changes(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -> DataFrame:
+def schema_changes(jobs: DataFrame, records: DataFrame, likeness: float = 0.35) -> DataFrame:
     """One row per change between consecutive jobs of a domain: added, removed, renamed or type_changed.
 
     ``old_value``/``new_value`` are "key: header", or the kinds for ``type_changed``. An added column that
@@ -289,11 +299,12 @@ def schema_changes(jobs: DataFrame, records: DataFrame, likeness: float = 0.45)
     return changes.filter("change_kind <> 'kept'").select("domain", "previous_job_id", "job_id", "field_name", "change_kind", "old_value", "new_value")
 
 
-def unified_names(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -> DataFrame:
+def unified_names(jobs: DataFrame, records: DataFrame, likeness: float = 0.35) -> DataFrame:
     """``job_id, key, header`` (folded)``, field``: the name each column of each job has in the unified table.
 
-    The name is the key under which the column first appeared in its domain. Columns point to their match
-    in the job before; pointers are doubled until all point to a first appearance, so a domain with n
+    The name is the key under which the column first appeared in its domain; where several columns of a domain first
+    appeared under one key, those after the first one have the job of their first appearance added. Columns point to
+    their match in the job before; pointers are doubled until all point to a first appearance, so a domain with n
     jobs takes log n joins and no task follows a whole domain.
     """
     changes, read = drift(jobs, records, likeness)
@@ -312,31 +323,70 @@ def unified_names(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -
         at = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             break
-    return at.select("job_id", "key", "header", F.col("to_key").alias("field"))
+    origin = read.select(F.col("id").alias("to_job"), "domain", "at")
+    lines = at.select("to_job", "to_key").distinct().join(origin, "to_job")
+    earliest = lines.groupBy("domain", "to_key").agg(F.min(F.struct(F.col("at").isNotNull(), "at", "to_job")).alias("e")).select(F.col("domain").alias("d"), F.col("to_key").alias("k"), "e.to_job")
+    first = lines.join(earliest.withColumnRenamed("to_job", "j"), (F.col("domain") == F.col("d")) & (F.col("to_key") == F.col("k")))
+    names = first.select("to_job", "to_key", F.when(F.col("to_job") == F.col("j"), F.col("to_key")).otherwise(F.concat("to_key", F.lit("@"), "to_job")).alias("field"))
+    return at.join(names, ["to_job", "to_key"]).select("job_id", "key", "header", "field")
+
+
+class _Pairs(list):
+    """The members of a JSON object in their order, repeated names included."""
+
+
+def _pairs(body: str | None) -> list[tuple[str, object]]:
+    try:
+        got = json.loads(body, object_pairs_hook=_Pairs) if body else []
+    except ValueError:
+        return []
+    return got if isinstance(got, _Pairs) else []
+
+
+def _as_dicts(value: object) -> object:
+    if isinstance(value, _Pairs):
+        return {k: _as_dicts(v) for k, v in value}
+    return [_as_dicts(v) for v in value] if isinstance(value, list) else value
+
+
+def unify(body: str | None, field_of: dict[str, str]) -> tuple[dict[str, str | None], dict[str, str | None]]:
+    """(fields, extra) of a record. Each value of the record is in one of both: a second value for a field, or for a name, goes
+    to ``extra`` under its own header, numbered if need be."""
+    fields: dict[str, str | None] = {}
+    extra: dict[str, str | None] = {}
+    for header, value in _pairs(body):
+        text = value if isinstance(value, str) or value is None else json.dumps(_as_dicts(value), ensure_ascii=False)
+        field = field_of.get(fold_header(header))
+        if field is not None and field not in fields:
+            fields[field] = text or None
+            continue
+        name, n = header, 1
+        while name in extra:
+            n += 1
+            name = f"{header} ({n})"
+        extra[name] = text or None
+    return fields, extra
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for row_id, job, line, body, names in b.itertuples(index=False):
-            by = {fold_header(n["header"]): n["field"] for n in (names if names is not None else [])}
-            fields, extra = {}, {}
-            for header, value in read_body(body).items():
-                text = value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
-                field = by.get(fold_header(header))
-                (extra if field is None else fields)[field or header] = text or None
-            out.append((row_id, job, line, fields, extra))
+            field_of: dict[str, str] = {}
+            for n in sorted(names if names is not None else [], key=lambda n: (n["header"], n["field"])):
+                field_of.setdefault(fold_header(n["header"]), n["field"])
+            out.append((row_id, job, line, *unify(body, field_of)))
         yield pd.DataFrame(out, columns=["row_id", "job_id", "line_no", "fields", "extra"])
 
 
-def unified_records(jobs: DataFrame, records: DataFrame, likeness: float = 0.45) -> DataFrame:
+def unified_records(jobs: DataFrame, records: DataFrame, likeness: float = 0.35) -> DataFrame:
     """All raw records in one table: ``row_id, domain, job_id, line_no, fields, extra``.
 
     ``fields`` maps unified names to values as text (lists as JSON, empty values as null), ``extra`` holds
-    what no profile maps. Records of jobs without a readable profile have all their values in ``extra``.
+    what no profile maps and what a field has a second time; no value is lost. Records of jobs without a readable profile have all their values in ``extra``.
     """
     names = unified_names(jobs, records, likeness).groupBy("job_id").agg(F.collect_list(F.struct("header", "field")).alias("names"))
-    rows = records.select("row_id", "job_id", "line_no", "body").dropDuplicates(["row_id"])
+    rows = once_each(records.select("row_id", "job_id", "line_no", "body"), "row_id")
     cells = rows.join(names, "job_id", "left").select("row_id", "job_id", "line_no", "body", "names")
     out = cells.mapInPandas(_cells, "row_id bigint, job_id string, line_no int, fields map<string,string>, extra map<string,string>")
     domains = jobs.select(F.col("id").alias("job_id"), "domain").dropDuplicates(["job_id"])

@@ -89,3 +89,48 @@ def test_likely_rename_of_key_and_header_is_shown(spark):
     records = [(i, f"j{1 + i % 2}", i, json.dumps({"Năm áp dụng" if i % 2 == 0 else "Năm tuyển": str(2020 + i // 2 % 3)}), "") for i in range(12)]
     got = d.schema_changes(spark.createDataFrame(jobs, JOBS), spark.createDataFrame(records, RECORDS)).filter("change_kind = 'added'").first()
     assert got.old_value == "applicable_year: Năm áp dụng"
+
+
+def test_columns_that_first_had_one_key_stay_apart(spark):
+    jobs = [job("j1", {"a": "Fee"}), job("j2", {"b": "Fee"}), job("j3", {"b": "Fee", "a": "Name"}), job("j4", {"a": "Name", "b": "Fee"})]
+    records = [(i, f"j{j}", 1, body, "") for i, (j, body) in enumerate([(1, '{"Fee": 10}'), (2, '{"fee": 20}'), (3, '{"Fee": 30, "Name": "X"}'), (4, '{"Name": "Y", "Fee": 40}')], 1)]
+    got = {r.row_id: r.fields for r in d.unified_records(spark.createDataFrame(jobs, JOBS), spark.createDataFrame(records, RECORDS)).collect()}
+    assert got == {1: {"a": "10"}, 2: {"a": "20"}, 3: {"a": "30", "a@j3": "X"}, 4: {"a": "40", "a@j3": "Y"}}
+
+
+def test_no_value_of_a_record_is_lost():
+    body = '{"Fee": 1, "fee": 2, "Fee": 3, "x": {"y": 1, "y": 2}, "x": [4], "n": null}'
+    assert d.unify(body, {"fee": "f"}) == ({"f": "1"}, {"fee": "2", "Fee": "3", "x": '{"y": 2}', "x (2)": "[4]", "n": None})
+    assert d.unify("[1]", {}) == d.unify(None, {}) == d.unify("{", {}) == ({}, {})
+
+
+def test_once_each_is_drop_duplicates(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, "d")], "k bigint, v string")
+    assert sorted(map(tuple, d.once_each(rows, "k").collect()), key=str) == sorted(map(tuple, rows.dropDuplicates(["k"]).collect()), key=str)
+
+
+def test_recall_of_likely_renames_on_planted_columns():
+    import numpy as np
+    import xxhash
+
+    r = random.Random(5)
+    words = "applicable application year fee school channel paper service counter time limit topic content form code station".split()
+
+    def column(name, values):
+        hashes = np.array([xxhash.xxh64_intdigest(v) for v in values], dtype=np.uint64)
+        sketch = d.sketch_values(np.zeros(len(values), dtype=np.int64), hashes, 1)[0]
+        return {"key": "_".join(name), "header": " ".join(name), "raw": " ".join(name).title(), "kind": "text", "sketch": [int(x) for x in sketch]}
+
+    planted = found = wrong = 0
+    for _ in range(60):
+        names = [tuple(r.sample(words, 3)) for _ in range(8)]
+        vocabulary = [[f"{i} {r.random()}" for _ in range(30)] for i in range(8)]
+        old = [column(n, r.sample(v, 25)) for n, v in zip(names, vocabulary)]
+        new_names = [(*n[:2], n[2] + "s") if r.random() < 0.5 else (n[1], r.choice(words) + "x", n[2] + "y") for n in names[:6]]
+        new = [column(n, r.sample(v, 25)) for n, v in zip(new_names, vocabulary)] + [column((f"other{k}", "thing", "z"), [f"q{r.random()}" for _ in range(25)]) for k in range(2)]
+        want = {n["key"]: o["key"] for n, o in zip(new[:6], old)}
+        got = {x[3]: x[5].split(":")[0] for x in d.compare_jobs("d", "a", "b", old, new, 0.35) if x[4] == "added" and x[5]}
+        planted += len(want)
+        found += sum(got.get(k) == v for k, v in want.items())
+        wrong += sum(want.get(k) != v for k, v in got.items())
+    assert found / planted >= 0.9 and wrong <= 0.05 * planted
