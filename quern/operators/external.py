@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -69,15 +71,49 @@ def search_function(search: Callable[[str, int], list[tuple[str, str, str]]]):
     return Search
 
 
+#: Forms that one automaton holds; a larger catalogue is searched in parts, each over all rows.
+PART = 200_000
+
+
+def _first_form(forms: list[tuple[int, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for no, form in sorted(forms, reverse=True):  # of equal forms the first in the catalogue stays
+            if form:
+                found.add_word(form, no)
+        found.make_automaton()
+        blank = [no for no, form in forms if form == ""]
+
+        def first(text: str | None) -> int | None:
+            hits = [no for _, no in found.iter(text)] if text and len(found) else []
+            return min(hits + blank, default=None) if text is not None else None
+
+        for b in batches:
+            out = []
+            for row, title, question in zip(*(b.column(c).to_pylist() for c in ("row_id", "title", "question"))):
+                for source, text in enumerate((title, question)):
+                    if (no := first(text)) is not None:
+                        out.append((row, source, no))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((b.schema.field("row_id").type, pa.int32(), pa.int64()))], names=["row_id", "source", "form_no"])
+
+    return run
+
+
 def match_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
     """First catalogue form whose title a text contains: titles first, then questions, then catalogue order.
 
-    ``rows``: ``row_id, title, question`` (normalised); ``forms``: ``form_no, form`` (normalised), a small
-    catalogue that is broadcast after its size is checked (at most 100,000 forms).
+    ``rows``: ``row_id, title, question`` (normalised); ``forms``: ``form_no, form`` (normalised). All forms of
+    a part of the catalogue are looked for in one pass over a text.
     """
-    if forms.limit(100_001).count() > 100_000:
-        raise ValueError("the catalogue of forms is too large to carry")
-    pairs = rows.join(F.broadcast(forms), F.contains("title", "form") | F.contains("question", "form"))
-    by_title = F.when(F.contains("title", "form"), 0).otherwise(1)
-    best = pairs.groupBy("row_id").agg(F.min(F.struct(by_title.alias("source"), "form_no")).alias("b"))
+    catalogue = forms.filter("form_no is not null and form is not null").select(F.col("form_no").cast("bigint"), "form")
+    parts = -(-catalogue.count() // PART)
+    found = None
+    for part in range(parts):
+        some = [tuple(r) for r in catalogue.filter(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).collect()]
+        here = rows.select("row_id", "title", "question").mapInArrow(_first_form(some), f"row_id {rows.schema['row_id'].dataType.simpleString()}, source int, form_no bigint")
+        found = here if found is None else found.unionByName(here)
+    if found is None:
+        return rows.limit(0).selectExpr("row_id", "0L as form_no", "'' as matched_by")
+    best = found.groupBy("row_id").agg(F.min(F.struct("source", "form_no")).alias("b"))
     return best.select("row_id", "b.form_no", F.when(F.col("b.source") == 0, "title").otherwise("question").alias("matched_by"))

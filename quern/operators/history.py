@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import sources_col, tag_value, untagged
-from quern.operators.ordered import carry_rows, fragment
+from quern.operators.ordered import carry_rows, fragment, salted_join
 
 ORDER = ["created_at", "id"]
 
@@ -56,18 +56,34 @@ def domain_segment(messages: DataFrame, domain: Column, default: str) -> DataFra
     own = domain_of(F.col("__src"), default)
     ends = (simple_role(F.col("role")) == "assistant") & (F.array_contains("__src", "RAG_ROUTE:none") | F.coalesce(own != F.col("__domain"), F.lit(False)))
     at = F.struct("created_at", "id")
-    last = rows.groupBy("conversation_id").agg(F.max(F.when(ends, at)).alias("__end"))
-    kept = rows.join(last, "conversation_id").filter(F.col("__end").isNull() | (at > F.col("__end")))
+    last = rows.filter(ends).groupBy("conversation_id").agg(F.max(at).alias("__end"))
+    kept = salted_join(rows, last, ["conversation_id"], "left").filter(F.col("__end").isNull() | (at > F.col("__end")))
     return kept.drop("__domain", "__src", "__end")
 
 
-def active_titles(messages: DataFrame) -> DataFrame:
-    """``conversation_id, message_id, titles``: titles of each conversation's latest assistant turn, if no route ended it."""
-    rows = messages.filter("conversation_id is not null and created_at is not null").withColumn("src", sources_col(F.col("sources")))
-    turns = rows.filter((simple_role(F.col("role")) == "assistant") & (F.size("src") > 0))
-    latest = turns.groupBy("conversation_id").agg(F.max_by(F.struct("id", "src"), F.struct("created_at", "id")).alias("t"))
-    open_ = latest.filter(~F.array_contains("t.src", "RAG_ROUTE:none"))
-    return open_.select("conversation_id", F.col("t.id").alias("message_id"), untagged(F.col("t.src")).alias("titles"))
+def active_titles(messages: DataFrame, domain: Column, default: str, fallback: Column) -> DataFrame:
+    """``conversation_id, message_id, titles``: the titles that a conversation is about in its present ``domain``.
+
+    They are those of the latest assistant turn that used records and named some, if no turn after it closed
+    the domain: one without a route, or one of another domain. Where no turn tells, it is ``fallback``, a
+    title of the conversation, in the ``default`` domain only. ``domain`` and ``fallback`` are expressions
+    over the messages' columns.
+    """
+    rows = messages.filter("conversation_id is not null and created_at is not null")
+    turns = rows.select("conversation_id", F.struct("created_at", "id").alias("at"), "id", simple_role(F.col("role")).alias("r"), sources_col(F.col("sources")).alias("src"), domain.alias("dom"), fallback.alias("legacy"))
+    used = F.exists("src", lambda s: s.startswith("RAG_CONTENT:"))
+    said = (F.col("r") == "assistant") & (F.array_contains("src", "RAG_ROUTE:none") | F.coalesce(domain_of(F.col("src"), default) != F.col("dom"), F.lit(False)))
+    names = untagged(F.col("src"))
+    tells = (F.col("r") == "assistant") & ~said & used & (F.size(names) > 0)
+    got = turns.groupBy("conversation_id").agg(
+        F.max(F.when(said, F.col("at"))).alias("closed"), F.max(F.when(tells, F.col("at"))).alias("told"), F.max_by(F.struct("id", names.alias("titles")), F.when(tells, F.col("at"))).alias("t"),
+        F.max_by(F.when((F.col("dom") == default) & (F.col("legacy") != ""), F.col("legacy")), F.col("at")).alias("legacy"),
+    )
+    open_ = F.col("told").isNotNull() & (F.col("closed").isNull() | (F.col("told") > F.col("closed")))
+    return got.select(
+        "conversation_id", F.when(open_, F.col("t.id")).alias("message_id"),
+        F.when(open_, F.col("t.titles")).when(F.col("closed").isNull() & F.col("legacy").isNotNull(), F.array("legacy")).otherwise(F.array().cast("array<string>")).alias("titles"),
+    )
 
 
 def latest_state(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

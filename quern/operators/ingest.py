@@ -11,8 +11,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import header_form, strip
+from quern.functions.text import strip
 from quern.operators.ordered import fragment, rank_rows
+from quern.operators.schema_drift import fold_header
 
 #: Position of the first data row in a file, after its header.
 FIRST_ROW = 2
@@ -42,14 +43,14 @@ def resolve_headers(headers: list[str], mapping: dict[str, str]) -> dict[str, st
     """Key to source header, both compared in folded form."""
     by: dict[str, str] = {}
     for h in headers:
-        form = header_form(h)
+        form = fold_header(h)
         if form in by:
             raise IngestError(f"ambiguous header: {h!r}")
         by[form] = h
-    missing = [f"{label!r} ({key})" for key, label in mapping.items() if header_form(label) not in by]
+    missing = [f"{label!r} ({key})" for key, label in mapping.items() if fold_header(label) not in by]
     if missing:
         raise IngestError("mapped headers are missing: " + ", ".join(missing))
-    return {key: by[header_form(label)] for key, label in mapping.items()}
+    return {key: by[fold_header(label)] for key, label in mapping.items()}
 
 
 def canonical_row(columns: list[str]) -> Column:

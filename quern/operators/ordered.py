@@ -9,19 +9,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
-from quern.session import cut_lineage
+from quern.session import cut_lineage, estimated_bytes
 
 FRAGMENT = "__fragment"
+#: Bytes of a result that one fragment should hold.
+FRAGMENT_BYTES = 128 << 20
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join rows with a table that has one row per key, where a key may hold a third of the rows.
+
+    The rows of a key are spread over ``salts`` tasks by their content, and its one row is sent to each.
+    """
+    own = [f.name for f in rows.schema.fields if f.name not in keys and not isinstance(f.dataType, t.MapType)]
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in own]), F.lit(salts)).cast("int"))
+    right = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def fragment(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
     """Add the number of the range fragment of every row and fix it.
 
     Fragment numbers rise with (keys, order). The result is cut from its lineage, because range bounds
-    are sampled and a second evaluation could place rows differently.
+    are sampled and a second evaluation could place rows differently. Their number grows with the estimated size.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(least, -(-(estimated_bytes(df) or 0) // FRAGMENT_BYTES))
     spread = df.repartitionByRange(n, *[F.col(f"`{c}`").asc_nulls_first() for c in [*keys, *order]])
     return cut_lineage(spread.withColumn(FRAGMENT, F.spark_partition_id()))
 

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import salted_join
 from quern.session import cut_lineage
 
 # Opening quotes and brackets with what closes them.
@@ -411,5 +412,5 @@ def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds:
     for name, df, rid, text in columns:
         part = df.select(F.lit(name).alias("field"), rid.alias("row_id"), text.cast("string").alias("text")).dropDuplicates(["row_id"])
         rows = part if rows is None else rows.unionByName(part)
-    found = rows.join(cuts, ["field", "text"])
+    found = salted_join(rows, cuts, ["field", "text"])
     return found.select("field", "row_id", F.posexplode("items").alias("pos", "value")).select("field", "row_id", (F.col("pos") + 1).cast("bigint").alias("item_no"), "value")

@@ -6,14 +6,19 @@ total: each carries its tie-break. Null scores sort last; an empty input gives a
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import ascii_words, ascii_words_col, ngrams, similarity_col, strip
+from quern.functions.text import ascii_words_col, ngrams, similarity_col, strip
+from quern.session import shared_folder
 
 #: Bytes of query vectors that one block carries to the tasks; more queries are searched block by block.
 BLOCK_BYTES = 64 << 20
@@ -31,29 +36,57 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _search(ids: np.ndarray, queries: np.ndarray, k: int, digits: int):
+def _matrix(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the vectors as rows of a matrix."""
+    ids = table.column(key).to_numpy().astype(np.int64)
+    flat = table.column("embedding").combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    return ids, flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+
+
+def _best(ids: np.ndarray, queries: np.ndarray, there: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """The k best of some vectors for some queries; scored a few thousand vectors at a time."""
+    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+    for at in range(0, len(there), 8192):
+        scores = np.round(queries @ vectors[at : at + 8192].T, digits)
+        for q in range(len(ids)):
+            s, v = np.concatenate([best[q][0], scores[q]]), np.concatenate([best[q][1], there[at : at + 8192]])
+            if len(s) > k:
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, v = s[keep], v[keep]
+                order = np.lexsort((v, -s))[:k]
+                s, v = s[order], v[order]
+            best[q] = (s, v)
+    n = [len(s) for s, _ in best]
+    if sum(n):
+        columns = [np.repeat(ids, n), np.concatenate([v for _, v in best]), np.concatenate([s for s, _ in best])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def _search(folder: str, blocks: list[int], k: int, digits: int):
+    """Each task reads the blocks of queries from the shared folder, one at a time, for each ``BLOCK_BYTES`` of its vectors."""
+
+    def read(block: int) -> tuple[np.ndarray, np.ndarray]:
+        files, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
+        return _matrix(pq.read_table(path, columns=["query_id", "embedding"], filesystem=files, partitioning=None), "query_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        only = read(blocks[0]) if len(blocks) == 1 else None
+        held: list[pa.RecordBatch] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if held:
+                there, vectors = _matrix(pa.Table.from_batches(held), "vec_id")
+                for block in blocks:
+                    yield from _best(*(only or read(block)), there, vectors, k, digits)
+                held.clear()
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            there = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(queries @ flat.reshape(b.num_rows, -1).T, digits)
-            for q in range(len(ids)):
-                s, v = np.concatenate([best[q][0], scores[q]]), np.concatenate([best[q][1], there])
-                if len(s) > k:
-                    low = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= low
-                    s, v = s[keep], v[keep]
-                    order = np.lexsort((v, -s))[:k]
-                    s, v = s[order], v[order]
-                best[q] = (s, v)
-        n = [len(s) for s, _ in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "vec_id", "score"]
-            )
+            if b.num_rows:
+                held.append(b)
+            if sum(h.nbytes for h in held) > BLOCK_BYTES:
+                yield from found()
+        yield from found()
 
     return run
 
@@ -62,25 +95,22 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6)
     """``query_id, vec_id, score, rank``: the k vectors of greatest dot product with each query, exactly.
 
     ``queries``: ``query_id, embedding``; ``vectors``: ``vec_id, embedding``, all of one length; null
-    vectors are left out. Queries go to the tasks in blocks of bounded size; a task keeps k rows per
-    query of its block, so what is shuffled is k rows per query and task. Scores are rounded to
+    vectors are left out. The vectors are scanned once, whatever the number of queries; the queries lie in
+    blocks of bounded size in the shared folder, where the tasks read them. What is shuffled is k rows per
+    query for each ``BLOCK_BYTES`` of vectors. Scores are rounded to
     ``digits``; ties go to the smaller id.
     """
     rows = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding")
     asked = queries.filter("query_id is not null and embedding is not null")
     shape = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    per_block = max(1, BLOCK_BYTES // (8 * max(1, shape[1] or 1)))
-    blocks = -(-shape[0] // per_block)
-    found = None
-    for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").toPandas()
-        if part.empty:
-            continue
-        matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-        near = rows.mapInArrow(_search(part["query_id"].to_numpy(dtype=np.int64), matrix, k, digits), "query_id bigint, vec_id bigint, score double")
-        found = near if found is None else found.unionByName(near)
-    if found is None:
+    if not shape[0]:
         return vectors.limit(0).selectExpr("0L as query_id", "0L as vec_id", "0D as score", "0 as rank")
+    blocks = -(-shape[0] // max(1, BLOCK_BYTES // (8 * max(1, shape[1] or 1))))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    folder = re.sub(r"^file:/+", "file:///", f"{shared_folder(rows.sparkSession)}/queries-{uuid.uuid4().hex}")
+    asked.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"), "block").repartition("block").write.partitionBy("block").parquet(folder)
+    there = sorted(r[0] for r in asked.select("block").distinct().collect())
+    found = rows.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(_search(folder, there, k, digits), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -154,22 +184,29 @@ def evidence(row_fields: list[tuple[str, str]], missing: str, blanks: tuple[str,
 
 def public_columns(schema: list[str], excluded: list[str] | None = None) -> list[str]:
     """Schema without excluded fields; None excludes timestamps and addresses by default, [] nothing."""
-    hidden = {"timestamp", "email", "email_address"} if excluded is None else set(excluded)
+    hidden = set(HIDDEN) if excluded is None else set(excluded)
     return [c for c in schema if c not in hidden]
 
 
-def excerpt(fields: list[tuple[str, str]], longest: int = 1800) -> Column:
+# Fields that are hidden where a profile names none; least and most characters of a value in an excerpt, the
+# number of fields that share it, its length; positions of an even sample.
+HIDDEN = ("timestamp", "email", "email_address")
+VALUE_LEAST, VALUE_MOST, VALUES, LONGEST, POSITIONS = 40, 400, 8, 1800, 8
+
+
+def excerpt(fields: list[tuple[str, str]], longest: int | Column = LONGEST) -> Column:
     """``label: value`` lines of the filled fields, each value and the whole bounded with an ellipsis."""
+    longest = F.lit(longest) if isinstance(longest, int) else longest
     value = {key: strip(F.col(f"`{key}`")) for key, _ in fields}
     filled = sum([F.when(F.coalesce(v, F.lit("")) != "", 1).otherwise(0) for v in value.values()], F.lit(0))
-    limit = F.greatest(F.lit(40), F.least(F.lit(400), F.floor(F.lit(longest) / F.greatest(F.lit(1), F.least(filled, F.lit(8)))))).cast("int")
+    limit = F.greatest(F.lit(VALUE_LEAST), F.least(F.lit(VALUE_MOST), F.floor(longest / F.greatest(F.lit(1), F.least(filled, F.lit(VALUES)))))).cast("int")
     lines = []
     for key, label in fields:
         v = value[key]
         cut = F.when(F.length(v) <= limit, v).otherwise(F.concat(F.substring(v, F.lit(1), limit), F.lit("…")))
         lines.append(F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(label + ": "), cut)))
     text = F.concat_ws("\n", *lines)
-    return F.when(F.length(text) <= longest, text).otherwise(F.concat(F.substring(text, 1, longest - 1), F.lit("…")))
+    return F.when(F.length(text) <= longest, text).otherwise(F.concat(F.substring(text, F.lit(1), longest - 1), F.lit("…")))
 
 
 def embedding_text(prefix: str, primary: Column, fields: list[tuple[str, Column]]) -> Column:
@@ -183,7 +220,7 @@ def pack_documents(documents: Column) -> Column:
     return F.when(F.size(documents) == 1, F.to_json(documents[0])).otherwise(F.to_json(F.struct(documents.alias("documents"))))
 
 
-def even_positions(n: int, count: int = 8) -> list[int]:
+def even_positions(n: int, count: int = POSITIONS) -> list[int]:
     """Evenly spread positions in ``n`` rows, first and last included."""
     return sorted({round(i * (n - 1) / (count - 1)) for i in range(count)}) if n > count else list(range(n))
 
@@ -194,7 +231,8 @@ def fuzzy_match(rows: DataFrame, phrases: list[str], least: float = 0.85) -> Dat
     A phrase that stands in the text, even within words, has ratio 1. Else the best window of as many
     words as the phrase counts, if it is at least ``least`` similar. Phrases without ASCII letters match nothing.
     """
-    wanted = [w for w in dict.fromkeys(map(ascii_words, phrases)) if w]
+    spelled = rows.sparkSession.range(1).select(F.array(*[ascii_words_col(F.lit(p)) for p in phrases]) if phrases else F.array().cast("array<string>")).first()[0]
+    wanted = [w for w in dict.fromkeys(spelled) if w]
     if not wanted:
         return rows.select("row_id", F.lit("").alias("wanted"), F.lit(0.0).alias("ratio")).limit(0)
     texts = rows.filter("text is not null").select("row_id", ascii_words_col(F.col("text")).alias("text"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.ordered import fragment, lag_rows
+from quern.operators.ordered import fragment, lag_rows, salted_join
 from quern.session import cut_lineage
 
 SKETCH = 8
@@ -387,7 +387,7 @@ def unified_records(jobs: DataFrame, records: DataFrame, likeness: float = 0.35)
     """
     names = unified_names(jobs, records, likeness).groupBy("job_id").agg(F.collect_list(F.struct("header", "field")).alias("names"))
     rows = once_each(records.select("row_id", "job_id", "line_no", "body"), "row_id")
-    cells = rows.join(names, "job_id", "left").select("row_id", "job_id", "line_no", "body", "names")
+    cells = salted_join(rows, names, ["job_id"], "left").select("row_id", "job_id", "line_no", "body", "names")
     out = cells.mapInPandas(_cells, "row_id bigint, job_id string, line_no int, fields map<string,string>, extra map<string,string>")
     domains = jobs.select(F.col("id").alias("job_id"), "domain").dropDuplicates(["job_id"])
-    return out.join(domains, "job_id", "left").select("row_id", "domain", "job_id", "line_no", "fields", "extra")
+    return salted_join(out, domains, ["job_id"], "left").select("row_id", "domain", "job_id", "line_no", "fields", "extra")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.ordered import fragment, group_percentiles, rank_rows, trailing_rows
+from quern.operators.ordered import fragment, group_percentiles, rank_rows, salted_join, trailing_rows
 
 # Severities of checks, the worst last.
 SEVERITY = ("PASS", "REVIEW", "FAIL", "ERROR")
@@ -69,7 +69,7 @@ def stage_latency(events: DataFrame, key: str, value: str, stages: list[str]) ->
 def broken_context(turns: DataFrame, keys: list[str], order: str, failed: Column) -> DataFrame:
     """Mark the turns that come after a failed one of their key."""
     first = turns.groupBy(*keys).agg(F.min(F.when(failed, F.col(order))).alias("__at"))
-    return turns.join(first, keys).withColumn("after_failure", F.coalesce(F.col(order) > F.col("__at"), F.lit(False))).drop("__at")
+    return salted_join(turns, first, keys).withColumn("after_failure", F.coalesce(F.col(order) > F.col("__at"), F.lit(False))).drop("__at")
 
 
 def paired_difference(rows: DataFrame, keys: list[str], variant: str, value: str, on: str, off: str) -> DataFrame:

@@ -14,6 +14,10 @@ STAGES = ["click", "purchase", "view", "search"]
 # Outcomes that the failed-queries view asks for.
 FAILED = ("LOW_CONFIDENCE", "MCP_PROMPT", "ONLINE_SEARCH_EXECUTED")
 DOMAIN = "hoc_vu"
+_SOURCES = (
+    "CASE WHEN id % 23 = 0 THEN 'RAG_ROUTE:none' END", "CASE WHEN id % 5 = 0 THEN CASE WHEN id % 2 = 0 THEN 'RAG_DOMAIN:hoc_vu' ELSE 'RAG_DOMAIN:tuyen_sinh' END END",
+    "CASE WHEN id % 3 > 0 THEN 'RAG_CONTENT:x' END", "CASE WHEN id % 4 > 0 THEN concat('Title ', cast(id % 11 as varchar(9))) END", "' '", "CASE WHEN id % 4 = 3 THEN concat('Title ', cast(id % 3 as varchar(9))) END",
+)
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,8 +76,14 @@ def history_tail(spark: SparkSession, sf: str) -> DataFrame:
     return history.history_tail(_messages(spark, sf)).select("conversation_id", "turn", "id")
 
 
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages whose sources, derived from their ids, have every kind of tag and titles."""
+    src = F.array_compact(F.array(*[F.expr(x) for x in _SOURCES]))
+    return _messages(spark, sf).withColumn("sources", F.to_json(src))
+
+
 def domain_segment(spark: SparkSession, sf: str) -> DataFrame:
-    return history.domain_segment(_messages(spark, sf), F.lit(DOMAIN), DOMAIN).select("conversation_id", "id")
+    return history.domain_segment(_tagged(spark, sf), F.lit(DOMAIN), DOMAIN).select("conversation_id", "id")
 
 
 def message_domains(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +94,8 @@ def message_domains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def active_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return history.active_titles(_messages(spark, sf)).select("conversation_id", "message_id", F.size("titles").cast("bigint").alias("titles"))
+    got = history.active_titles(_tagged(spark, sf), F.lit(DOMAIN), DOMAIN, F.expr("CASE WHEN conversation_id % 2 = 0 THEN 'Title of ' || conversation_id END"))
+    return got.select("conversation_id", "message_id", F.array_join("titles", "|").alias("titles"))
 
 
 def user_conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,6 +236,9 @@ QUERIES = {
 _M = "m AS (SELECT DISTINCT ON (id) *, lower(trim(role)) AS r FROM messages)"
 _A = "a AS (SELECT DISTINCT ON (id) * FROM audit_logs)"
 _DOM = r"""nullif(regexp_extract(sources, 'RAG_DOMAIN:([^"''\\]+)', 1), '')"""
+_TAGS = _M + ", s AS (SELECT id, conversation_id, created_at, r, list_filter([" + ", ".join(_SOURCES) + f"""], lambda x: x IS NOT NULL) AS src FROM m WHERE conversation_id IS NOT NULL AND created_at IS NOT NULL),
+d AS (SELECT *, list_filter(src, lambda x: starts_with(x, 'RAG_DOMAIN:'))[1][12:] AS tagged, list_contains(src, 'RAG_CONTENT:x') AS used FROM s),
+t AS (SELECT *, r = 'assistant' AND (list_contains(src, 'RAG_ROUTE:none') OR coalesce(coalesce(tagged, CASE WHEN used THEN '{DOMAIN}' END) <> '{DOMAIN}', false)) AS said, r = 'assistant' AND used AND NOT said AS tells FROM d)"""
 _P = "count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95"
 _CHECKS = "c AS (SELECT user_id, ts::DATE AS day, event_type, event_id, CASE WHEN value > 40 THEN 2 WHEN value > 25 THEN 1 ELSE 0 END AS s FROM events)"
 _NAME = "['PASS', 'REVIEW', 'FAIL'][{0} + 1]"
@@ -243,12 +257,14 @@ ORACLES = {
     FROM m WHERE conversation_id IS NOT NULL AND created_at IS NOT NULL) SELECT conversation_id, id AS message_id, u AS user_message_id FROM w WHERE rating IS NOT NULL AND r = 'assistant'""",
     "history_tail": f"""WITH {_M}, t AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC NULLS LAST, id DESC) AS back FROM m WHERE conversation_id IS NOT NULL QUALIFY back <= 8)
     SELECT conversation_id, (row_number() OVER (PARTITION BY conversation_id ORDER BY back DESC))::INT AS turn, id FROM t WHERE r IN ('user', 'assistant')""",
-    "domain_segment": f"""WITH {_M}, d AS (SELECT *, {_DOM} AS dom FROM m WHERE conversation_id IS NOT NULL AND created_at IS NOT NULL),
-    e AS (SELECT conversation_id, max(CASE WHEN r = 'assistant' AND dom <> '{DOMAIN}' THEN {{'c': created_at, 'i': id}} END) AS x FROM d GROUP BY 1)
-    SELECT conversation_id, id FROM d JOIN e USING (conversation_id) WHERE x IS NULL OR {{'c': created_at, 'i': id}} > x""",
+    "domain_segment": f"""WITH {_TAGS}, e AS (SELECT conversation_id, max({{'c': created_at, 'i': id}}) AS x FROM t WHERE said GROUP BY 1)
+    SELECT conversation_id, id FROM t LEFT JOIN e USING (conversation_id) WHERE x IS NULL OR {{'c': created_at, 'i': id}} > x""",
     "message_domains": rf"""WITH {_M}, d AS (SELECT {_DOM} AS domain, nullif(regexp_extract(sources, 'RAG_SCORE:([0-9.]+)', 1), '')::DOUBLE AS score FROM m) SELECT domain, count(*) AS n, round(max(score), 4) AS best FROM d WHERE domain IS NOT NULL GROUP BY 1""",
-    "active_titles": f"""WITH {_M}, t AS (SELECT * FROM m WHERE conversation_id IS NOT NULL AND created_at IS NOT NULL AND r = 'assistant' AND contains(sources, 'RAG_'))
-    SELECT conversation_id, id AS message_id, 0::BIGINT AS titles FROM t QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) = 1""",
+    "active_titles": f"""WITH {_TAGS}, n AS (SELECT *, list_filter(src, lambda x: trim(x) <> '' AND NOT starts_with(x, 'RAG_')) AS names FROM t),
+    g AS (SELECT conversation_id, max({{'c': created_at, 'i': id}}) FILTER (said) AS closed, max({{'c': created_at, 'i': id}}) FILTER (tells AND len(names) > 0) AS told FROM n GROUP BY 1),
+    o AS (SELECT conversation_id, told.i AS id FROM g WHERE told IS NOT NULL AND (closed IS NULL OR told > closed)),
+    w AS (SELECT o.conversation_id, o.id, CASE WHEN len(names) = 2 AND names[1] = names[2] THEN names[1] ELSE array_to_string(names, '|') END AS titles FROM o JOIN n ON n.id = o.id)
+    SELECT g.conversation_id, w.id AS message_id, coalesce(titles, CASE WHEN closed IS NULL AND g.conversation_id % 2 = 0 THEN 'Title of ' || g.conversation_id END, '') AS titles FROM g LEFT JOIN w USING (conversation_id)""",
     "user_conversations": """WITH c AS (SELECT id, max_by(user_id, updated_at) AS user_id, max(updated_at) AS updated_at FROM conversations GROUP BY id),
     n AS (SELECT user_id, count(*) AS conversations, max(updated_at) AS last_update FROM c GROUP BY 1) SELECT u.id AS uid, u.user_id AS user_name, conversations, last_update FROM users u JOIN n ON n.user_id = u.id""",
     "new_users": "SELECT DISTINCT user_id AS id FROM conversations WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT id FROM users WHERE created_at < TIMESTAMP '2021-01-01')",

@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.operators import external, ingest, retrieval
 from quern.session import read_table
 
-K, CUTOFF, LIMIT = 20, 0.3, 5
+K, CUTOFF, RECOVERY, LIMIT = 20, 0.3, 0.45, 5
 HOSTS = ["rungthong.example", "tin.songtram.example"]
 MISSING = "no information"
 ADMISSION = [("Chủ đề", "topic"), ("Nội dung", "content"), ("Hồ sơ", "papers"), ("Thời gian", "time"), ("Phí hoặc học bổng", "fee"), ("Năm áp dụng", "year")]
@@ -32,11 +32,13 @@ def best_chunk_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.candidate_decisions(_candidates(spark, sf), CUTOFF, LIMIT)
+    """Many chunks of a record among the candidates: ten records."""
+    return retrieval.candidate_decisions(_candidates(spark, sf).withColumn("record_id", F.col("vec_id") % 10), CUTOFF, LIMIT)
 
 
 def low_score_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.recover_low_scores(_candidates(spark, sf), 0.99999, LIMIT).select("query_id", "vec_id", "score", "rank", "recovered")
+    """Candidates other than the query's own vector, so that some queries have none above the cut-off."""
+    return retrieval.recover_low_scores(_candidates(spark, sf).filter("vec_id <> query_id"), RECOVERY, LIMIT).select("query_id", "vec_id", "score", "rank", "recovered")
 
 
 def merge_query_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +96,7 @@ def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_records(spark: SparkSession, sf: str) -> DataFrame:
     rows, _, _ = ingest.prepare(_services(spark, sf), SERVICE, "service_name", "row_id")
-    return rows.select(F.expr("split(record_id, ':')[1]").cast("bigint").alias("copy_no"), *SERVICE)
+    return rows.select(F.expr("split(record_id, ':')[1]").cast("bigint").alias("copy_no"), *SERVICE, F.get_json_object("raw_json", "$['Mã kiểm tra nội bộ']").alias("unmapped_value"))
 
 
 def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,6 +215,10 @@ _GRAMS = r"""w AS (SELECT row_id, "Trường" AS owner, regexp_extract_all(lower
 g AS (SELECT owner, array_to_string(t[i:i + n - 1], ' ') AS gram FROM w, range(2, {0}) a(n), range(1, 200) b(i) WHERE i + n - 1 <= len(t))"""
 
 
+_FOLDED = r"""trim(regexp_replace({0}, '[\s\p{{Z}}]+', ' ', 'g'))"""
+_WORDS = r"""trim(regexp_replace({0}, '[^\p{{L}}\p{{N}}_{1}]+', ' ', 'g'))"""
+
+
 def _excerpt_sql(longest: int) -> str:
     vals = {c: _CELL.format(f'"{c}"') for c, _ in ADMISSION}
     filled = " + ".join(f"({v} <> '')::INT" for v in vals.values())
@@ -226,11 +232,13 @@ ORACLES = {
     "vector_topk": f"WITH {_TOPK} SELECT query_id, vec_id, score, rank::INT AS rank FROM topk",
     "best_chunk_topk": f"WITH {_TOPK} SELECT query_id, record_id, vec_id, score, rank::INT AS rank FROM bestk",
     "candidate_decisions": f"""WITH {_TOPK},
-    f AS (SELECT *, score >= {CUTOFF} AND row_number() OVER (PARTITION BY query_id, record_id ORDER BY score DESC, vec_id) = 1 AS fresh FROM cand),
+    ten AS (SELECT query_id, vec_id % 10 AS record_id, vec_id, score FROM cand),
+    f AS (SELECT *, score >= {CUTOFF} AND row_number() OVER (PARTITION BY query_id, record_id ORDER BY score DESC, vec_id) = 1 AS fresh FROM ten),
     a AS (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY query_id ORDER BY score DESC, vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM f)
     SELECT query_id, record_id, vec_id, score, CASE WHEN score < {CUTOFF} THEN 'below_minimum_score' WHEN ahead >= {LIMIT} THEN 'result_limit_reached' WHEN NOT fresh THEN 'duplicate_record' ELSE 'kept' END AS reason FROM a""",
-    "low_score_recovery": f"""WITH {_TOPK}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM topk WHERE rank <= {LIMIT})
-    SELECT query_id, vec_id, score, rank::INT AS rank, top < 0.99999 AS recovered FROM m WHERE CASE WHEN top >= 0.99999 THEN score >= 0.99999 ELSE rank <= 3 END""",
+    "low_score_recovery": f"""WITH {_TOPK}, c AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cand WHERE vec_id <> query_id),
+    m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM c WHERE rank <= {LIMIT})
+    SELECT query_id, vec_id, score, rank::INT AS rank, top < {RECOVERY} AS recovered FROM m WHERE CASE WHEN top >= {RECOVERY} THEN score >= {RECOVERY} ELSE rank <= 3 END""",
     "merge_query_groups": f"""WITH {_TOPK}, g AS (SELECT query_id % 100 AS request_id, query_id AS group_no, rank::INT AS arrival, vec_id // 2 AS record_id, score FROM topk),
     b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY request_id, record_id ORDER BY score DESC, group_no, arrival) = 1)
     SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY score DESC, group_no, arrival, record_id))::INT AS rank FROM b QUALIFY rank <= 10""",
@@ -242,9 +250,10 @@ ORACLES = {
     "record_excerpt": _excerpt_sql(300),
     "public_projection": "SELECT row_id, " + ", ".join(f"coalesce(\"{c}\", '') AS c{i}" for i, c in enumerate(_SERVICE_COLUMNS[:-1])) + " FROM workshop_services",
     "embedding_text": "SELECT row_id, concat_ws(chr(10), 'passage: ' || \"Chủ đề\", " + ", ".join(f"CASE WHEN {_CELL.format(chr(34) + c + chr(34))} <> '' THEN '{label}: ' || \"{c}\" END" for c, label in ADMISSION[1:4]) + ") AS text FROM admissions WHERE \"Chủ đề\" IS NOT NULL",
-    "ingest_records": "SELECT row_number() OVER (PARTITION BY " + ", ".join(_CELL.format(f'"{c}"') for c in _SERVICE_COLUMNS) + " ORDER BY row_id) AS copy_no, " + ", ".join(f"{_CELL.format(chr(34) + c + chr(34))} AS {k}" for k, c in SERVICE.items()) + f" FROM workshop_services WHERE {_CELL.format(chr(34) + 'Tên dịch vụ' + chr(34))} <> ''",
+    "ingest_records": "SELECT row_number() OVER (PARTITION BY " + ", ".join(_CELL.format(f'"{c}"') for c in _SERVICE_COLUMNS) + " ORDER BY row_id) AS copy_no, " + ", ".join(f"{_CELL.format(chr(34) + c + chr(34))} AS {k}" for k, c in SERVICE.items()) + f", {_CELL.format(chr(34) + 'Mã kiểm tra nội bộ' + chr(34))} AS unmapped_value FROM workshop_services WHERE {_CELL.format(chr(34) + 'Tên dịch vụ' + chr(34))} <> ''",
     "ingest_report": f"""SELECT count(*) AS input_rows, count(*) FILTER ({_CELL.format(chr(34) + "Tên dịch vụ" + chr(34))} <> '') AS indexed_rows, count(*) FILTER ({_SERVICE_ROW} = '') AS empty_rows,
-    count(*) FILTER ({_CELL.format(chr(34) + "Tên dịch vụ" + chr(34))} = '' AND {_SERVICE_ROW} <> '') AS missing_primary, 3::BIGINT AS unmapped FROM workshop_services""",
+    count(*) FILTER ({_CELL.format(chr(34) + "Tên dịch vụ" + chr(34))} = '' AND {_SERVICE_ROW} <> '') AS missing_primary,
+    (SELECT count(*) FROM (DESCRIBE workshop_services) WHERE column_name <> 'row_id' AND column_name NOT IN ({", ".join(f"'{c}'" for c in SERVICE.values())})) AS unmapped FROM workshop_services""",
     "content_ids": """WITH d AS (SELECT doc_id, sha256('lang' || chr(31) || coalesce(lang, '') || chr(30) || 'text' || chr(31) || coalesce(text, '') || chr(30)) AS h FROM documents)
     SELECT doc_id, h || ':' || row_number() OVER (PARTITION BY h ORDER BY doc_id) AS record_id FROM d""",
     "multiset_difference": "SELECT text, lang, 'left' AS side, count(*) - 1 AS extra FROM documents GROUP BY text, lang HAVING count(*) > 1",
@@ -265,6 +274,9 @@ ORACLES = {
     "token_ngrams": f"WITH {_GRAMS.format(4)} SELECT gram, count(*) AS n FROM g GROUP BY gram",
     "ngram_owners": f"WITH {_GRAMS.format(5)} SELECT gram, min(owner) AS owner FROM g WHERE owner IS NOT NULL GROUP BY gram HAVING count(DISTINCT owner) = 1",
     "phrase_fields": "SELECT row_id, " + ", ".join(rf"""coalesce(regexp_matches(lower("Nội dung"), '(^|[^\p{{L}}\p{{N}}_]){p}($|[^\p{{L}}\p{{N}}_])'), false) AS p{i}""" for i, p in enumerate(["học phí", "phí", "hồ sơ"])) + " FROM admissions",
+    "normalised_forms": f"""WITH s AS (SELECT row_id, "Chủ đề" AS t, replace(lower("Chủ đề"), 'đ', 'd') AS d FROM admissions)
+    SELECT row_id, {_FOLDED.format("nfc_normalize(lower(t))")} AS header_form, {_FOLDED.format("strip_accents(d)")} AS plain_words, {_WORDS.format("regexp_replace(strip_accents(lower(t)), '[^" + chr(92) + "x00-" + chr(92) + "x7F]+', '', 'g')", "")} AS ascii_words,
+    {_WORDS.format("strip_accents(d)", ".,")} AS graded_words, regexp_replace(strip_accents(d), '[^{chr(92)}p{{L}}{chr(92)}p{{N}}]+', '', 'g') AS compact_letters FROM s""",
     "scalar_forms": r"""WITH t AS (SELECT row_id, coalesce("Chủ đề", '') AS topic, coalesce("Nội dung", '') AS content FROM admissions),
     v AS (SELECT *, regexp_replace(topic, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS ts FROM t),
     u AS (SELECT *, upper(substr(ts, 1, 1)) || lower(substr(ts, 2)) AS ti FROM v)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def local_session(app: str = "quern", cores: int | str = "*", shuffle_partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("QUERN_DRIVER_MEMORY", "12g"))
@@ -34,15 +36,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is absent (tests,
-    single machine) a temporary folder is set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only on a local master, where that setting is
+    absent (tests, single machine), a temporary folder is set; elsewhere its absence is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate of the size of a result, if it has one."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, never on one executor alone: losing one must not lose the only copy."""
     shared_folder(df.sparkSession)

@@ -6,8 +6,8 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from quern.functions.text import header_form
 from quern.operators.ingest import IngestError
+from quern.operators.schema_drift import fold_header
 from quern.operators.retrieval import public_columns
 from quern.sources.snapshots import Snapshots, write_json
 
@@ -52,7 +52,7 @@ def validate(document: dict) -> Profile:
             raise IngestError(f"not a usable key: {key!r}")
         if not isinstance(label, str) or not label.strip():
             raise IngestError(f"no header for {key!r}")
-    if len({header_form(v) for v in mapping.values()}) < len(mapping):
+    if len({fold_header(v) for v in mapping.values()}) < len(mapping):
         raise IngestError("two keys map to one header")
     primary = document.get("primary_entity")
     if primary not in mapping:
