@@ -143,7 +143,7 @@ def _cached(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return E.cache_counts(_cached(spark, sf), ["user_id"])
+    return E.cache_counts(_cached(spark, sf), ["request_id"])
 
 
 def uncached_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -355,7 +355,7 @@ ORACLES = {
     "public_bodies": "WITH r AS (SELECT DISTINCT ON (row_id) * FROM raw_records), b AS (SELECT row_id, CASE WHEN json_valid(body) THEN body END AS j FROM r) SELECT row_id, j ->> '$.\"Học phí\"' AS fee, j ->> '$.\"Hồ sơ\"' AS papers, j ->> '$.\"Thời gian\"' AS time FROM b",
     "host_lists": r"""WITH h AS (SELECT "Trường" AS s, list_sort(list(DISTINCT regexp_extract("Nguồn", '^https?://([^/]+)', 1)) FILTER ("Nguồn" IS NOT NULL)) AS h FROM admissions WHERE "Trường" IS NOT NULL GROUP BY 1)
     SELECT s AS school, CASE WHEN length(s) % 3 <> 0 AND len(list_filter(h, lambda x: NOT regexp_full_match(lower(x), '(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,63}'))) = 0 THEN array_to_string(list_transform(h, lambda x: lower(x)), ',') END AS hosts FROM h""",
-    "cache_counts": f"WITH {_CACHE}, g AS (SELECT user_id, count(*) FILTER (cached) AS cache_events, count(*) FILTER (hit) AS cache_hits, count(*) FILTER (NOT enabled) AS acknowledged FROM j GROUP BY 1) SELECT *, cache_events > 0 AND cache_hits = 0 AND acknowledged = cache_events AS cacheless FROM g",
+    "cache_counts": f"WITH {_CACHE}, g AS (SELECT request_id, count(*) FILTER (cached) AS cache_events, count(*) FILTER (hit) AS cache_hits, count(*) FILTER (NOT enabled) AS acknowledged FROM j GROUP BY 1) SELECT *, cache_events > 0 AND cache_hits = 0 AND acknowledged = cache_events AS cacheless FROM g",
     "uncached_results": f"WITH {_CACHE} SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM j WHERE NOT hit GROUP BY 1",
     "full_context": f"WITH k AS (SELECT user_id, ts::DATE AS day, {_KIND} AS kind, value < 30 AS f FROM events) SELECT user_id, day, coalesce(bool_and(f) FILTER (kind = 'cache'), false) AND coalesce(bool_and(f) FILTER (kind = 'complete'), false) AND count(*) FILTER (kind = 'selection') = 0 AS verified FROM k GROUP BY 1, 2",
     "transcript": f"WITH {_TRANSCRIPT} SELECT row_number() OVER (ORDER BY t NULLS FIRST, source, id) AS place, source, id FROM u",
