@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -19,6 +19,11 @@ from quern.operators.ordered import fragment, rank_rows
 POSITION = "position"
 
 
+def _place() -> list[Column]:
+    """Where a row was read: its file, the offset of the part of the file, and its order within the part."""
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__part"), F.monotonically_increasing_id().alias("__row")]
+
+
 def read_upload(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
     """One uploaded file as a table of text columns and ``position``, by its suffix."""
     suffix = os.path.splitext(path)[1].lower()
@@ -55,23 +60,22 @@ def _delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
         spark.read.schema(inner).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", "true").option("header", "true").option("enforceSchema", "true")
         .option("nullValue", "").option("emptyValue", "").option("mode", "FAILFAST").csv(path)
     )
-    # A file with line breaks in cells can't be split, so its one partition keeps the order of the file.
-    numbered = rows.withColumn(POSITION, F.monotonically_increasing_id() + FIRST_ROW)
-    return numbered.select(*[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)], POSITION)
+    return _numbered(rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *_place()))
 
 
 def _flat(rows: DataFrame) -> DataFrame:
     nested = [f.name for f in rows.schema.fields if isinstance(f.dataType, (t.ArrayType, t.StructType, t.MapType))]
     if nested:
         raise IngestError("nested values must be flattened first: " + ", ".join(nested))
-    return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+    return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns], *_place())
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Positions that do not depend on how the file was split: ids rise with the file's order and are then ranked."""
-    marked = rows.withColumn("__order", F.monotonically_increasing_id())
-    ranked = rank_rows(fragment(marked, [], ["__order"]), [], ["__order"], POSITION)
-    return ranked.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns], (F.col(POSITION) + FIRST_ROW).alias(POSITION))
+    """Positions in each file, however files were split or read together: parts follow their offsets, rows their order in a part."""
+    order = ["__part", "__row"]
+    ranked = rank_rows(fragment(rows, ["__file"], order), ["__file"], order, POSITION)
+    names = [c for c in rows.columns if c not in ("__file", *order)]
+    return ranked.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], (F.col(POSITION) + FIRST_ROW).alias(POSITION))
 
 
 def _sheet(spark: SparkSession, path: str, sheet: int | str) -> DataFrame:

@@ -80,6 +80,73 @@ def turn_status_batch(events: DataFrame) -> DataFrame:
     return got.select("request_id", status.alias("status"), F.array_join(F.transform("c", lambda x: x["t"]), "").alias("answer"))
 
 
+def answer_cache(requests: DataFrame, ttl_ms: int) -> DataFrame:
+    """``key, request_id, hit`` of each request (``key, request_id, at``, event time) of a stream.
+
+    A request is a hit if an answer of its key was stored at most ``ttl_ms`` before; else its own answer is
+    stored. A hit does not renew what is stored. The state of a key is the time of its answer, dropped once the
+    watermark has passed its end, so that keys that come no more take no room.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stored = state.get[0] if state.exists else None
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["at", "request_id"]).itertuples():
+            at = r.at.value // 1_000_000
+            hit = stored is not None and 0 <= at - stored <= ttl_ms
+            stored = stored if hit else at
+            out.append((key[0], r.request_id, hit))
+        state.update((stored,))
+        if (end := stored + ttl_ms + 1) > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+        yield pd.DataFrame(out, columns=["key", "request_id", "hit"])
+
+    schema = f"key {requests.schema['key'].dataType.simpleString()}, request_id {requests.schema['request_id'].dataType.simpleString()}, hit boolean"
+    return requests.groupBy("key").applyInPandasWithState(step, schema, "stored bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def answer_cache_batch(requests: DataFrame, ttl_ms: int) -> DataFrame:
+    """The same over a finished table: requests of a key are taken in order of ``at``, ``request_id``."""
+
+    rows = requests.select("key", "request_id", "at", F.unix_millis(F.col("at").cast("timestamp")).alias("ms"))
+    schema = f"key {requests.schema['key'].dataType.simpleString()}, request_id {requests.schema['request_id'].dataType.simpleString()}, hit boolean"
+
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, run = None, None
+        for b in batches:
+            hits = []
+            for k, at in zip(b["key"], b["ms"]):
+                if run is None or k != key:
+                    key, run = k, None
+                hit = run is not None and at - run <= ttl_ms
+                run = run if hit else at
+                hits.append(hit)
+            yield pd.DataFrame({"key": b["key"], "request_id": b["request_id"], "hit": hits})
+
+    # sorted within the partitions of the key: a key is followed by one task, a batch at a time
+    return rows.repartition("key").sortWithinPartitions("key", "at", "request_id").mapInPandas(in_order, schema)
+
+
+def merged_turns(events: DataFrame) -> DataFrame:
+    """``request_id, user_prompt, answer, domain, state, status`` of each turn, from its message, interaction, state and routing events.
+
+    ``events``: ``request_id, seq, event, text``; ``event`` is user, chunk, route, state, error, cancelled or end. Later
+    routes and states take the place of earlier ones.
+    """
+    last = lambda kind: F.max_by("text", F.when(F.col("event") == kind, F.col("seq")))
+    had = lambda kind: F.bool_or(F.col("event") == kind)
+    chunks = F.array_sort(F.collect_list(F.when(F.col("event") == "chunk", F.struct("seq", F.coalesce("text", F.lit("")).alias("t")))))
+    got = events.groupBy("request_id").agg(
+        F.min_by("text", F.when(F.col("event") == "user", F.col("seq"))).alias("user_prompt"), chunks.alias("c"), last("route").alias("domain"), last("state").alias("state"),
+        had("error").alias("e"), had("cancelled").alias("x"), had("end").alias("z"),
+    )
+    status = F.when(F.col("e"), "error").when(F.col("x"), "cancelled").when(F.col("z"), "ok").otherwise("incomplete")
+    return got.select("request_id", "user_prompt", F.array_join(F.transform("c", lambda x: x["t"]), "").alias("answer"), "domain", "state", status.alias("status"))
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> str:
     """Run a stream over what is there now into a Parquet folder (append) and return its path."""
     out = os.path.join(folder, f"out-{uuid.uuid4().hex[:8]}")
@@ -89,9 +156,14 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> str:
 
 
 def run_complete(stream: DataFrame) -> DataFrame:
-    """Run an aggregating stream over what is there now and return its complete result (bounded by its keys)."""
-    name = f"result_{uuid.uuid4().hex[:12]}"
-    state = f"{shared_folder(stream.sparkSession)}/{name}"
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
+    """Run an aggregating stream over what is there now and return its complete result, kept in the shared folder."""
+    folder = f"{shared_folder(stream.sparkSession)}/result-{uuid.uuid4().hex[:12]}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        done.append(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batch-{done[-1]}") if done else stream.sparkSession.createDataFrame([], stream.schema)
