@@ -3,8 +3,8 @@
 Lengths are whole numbers up to the capacity, so the plan needs only how many items have each length.
 Exact complements come first: for each length the gap it leaves is looked up among the single lengths,
 the sums of two and the sums of three, and as many containers as the counts allow are filled exactly.
-What is left is packed best-fit, longest first. The plan is made once per capacity from at most
-``capacity`` counts, whatever the number of items; the items then take the places of their length.
+What is left is packed best-fit, longest first. The plan is made once per capacity, in a task of its own, from at
+most ``capacity`` counts, whatever the number of items; the items then take the places of their length.
 
 Edge cases, all covered by tests: an item longer than the capacity is cut into full pieces and a rest;
 an item without tokens takes no container (null) but keeps its row; equal lengths and repeated rows
@@ -163,6 +163,19 @@ def pieces(sizes: DataFrame, windows: list[tuple[int, int]]) -> DataFrame:
     return cut.select("window_id", "doc_id", "piece_no", start.alias("start"), F.least("capacity", F.col("size") - start).alias("tokens"))
 
 
+_RUNS = ("window_id", "tokens", "first", "base", "n")
+
+
+def _planned(capacity: dict[int, int]):
+    """Runs of places of one window's lengths."""
+
+    def run(key: tuple, counts: pd.DataFrame) -> pd.DataFrame:
+        runs = places(plan(dict(zip(counts["tokens"].tolist(), counts["count"].tolist())), capacity[key[0]]))
+        return pd.DataFrame([(key[0], p, *x) for p, r in runs.items() for x in zip(*(a.tolist() for a in r))], columns=list(_RUNS))
+
+    return run
+
+
 def _place(at: dict[int, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -182,16 +195,18 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     """``window_id, container, doc_id, piece_no, start, tokens``: which item, or piece of one, lies in which container.
 
     ``sizes``: ``doc_id, tokens``. ``windows``: ``window_id, capacity_tokens``, a small table of settings.
-    What goes to the driver is one count for each length of each window, at most the sum of capacities.
+    What goes to the driver are the runs of places of each length of each window: the plan, not the items.
     """
     fixed = [(int(r[0]), int(r[1])) for r in windows.select("window_id", "capacity_tokens").distinct().orderBy("window_id").collect() if r[0] is not None and r[1] and r[1] > 0]
     if not fixed:
         return sizes.limit(0).selectExpr("0L as window_id", "0L as container", "doc_id", "0L as piece_no", "0L as start", "0L as tokens")
     items = fragment(pieces(cut_lineage(sizes), fixed), ["window_id", "tokens"], ["doc_id", "piece_no"])
-    counts: dict[int, dict[int, int]] = {w: {} for w, _ in fixed}
-    for w, length, n in items.filter("tokens > 0").groupBy("window_id", "tokens").count().collect():
-        counts[w][length] = n
-    at = {w: places(plan(counts[w], c)) for w, c in fixed}
+    counts = items.filter("tokens > 0").groupBy("window_id", "tokens").count().repartition(4 * len(fixed), "window_id")
+    planned = counts.groupBy("window_id").applyInPandas(_planned(dict(fixed)), ", ".join(f"{c} bigint" for c in _RUNS))
+    runs: dict[int, dict[int, list[tuple[int, int, int]]]] = {w: {} for w, _ in fixed}
+    for w, length, *run in planned.collect():
+        runs[w].setdefault(length, []).append(tuple(run))
+    at = {w: {length: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(r))) for length, r in by.items()} for w, by in runs.items()}
     ranked = rank_rows(items, ["window_id", "tokens"], ["doc_id", "piece_no"], "rank").select("window_id", "doc_id", "piece_no", "start", "tokens", "rank")
     schema = "window_id bigint, doc_id bigint, piece_no bigint, start bigint, tokens bigint, container bigint"
     return ranked.mapInPandas(_place(at), schema).select("window_id", "container", "doc_id", "piece_no", "start", "tokens")
