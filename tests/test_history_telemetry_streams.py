@@ -35,7 +35,11 @@ def test_segments_and_titles(spark):
     ]
     df = messages(spark, rows)
     assert sorted(x.id for x in history.domain_segment(df, F.lit("y"), "d").collect()) == [3, 4, 5, 8]
-    assert [(x.conversation_id, x.titles) for x in history.active_titles(df).collect()] == [(1, ["B"])]
+    more = messages(spark, [*rows, (9, 3, "assistant", '["A", "A", " ", "RAG_CONTENT:{}"]', None, 1), (10, 3, "assistant", "[]", None, 2), (11, 4, "assistant", '["E"]', None, 1), (12, 5, "assistant", '["F", "RAG_CONTENT:{}", "RAG_DOMAIN:d"]', None, 1), (13, 5, "assistant", '["RAG_ROUTE:none"]', None, 2)])
+    got = {x.conversation_id: (x.message_id, x.titles) for x in history.active_titles(more, F.lit("d"), "d", F.lit("old")).collect()}
+    assert got == {1: (None, []), 2: (None, []), 3: (9, ["A"]), 4: (None, ["old"]), 5: (None, [])}
+    other = {x.conversation_id: x.titles for x in history.active_titles(more, F.lit("x"), "d", F.lit("old")).collect()}
+    assert other == {1: [], 2: [], 3: [], 4: [], 5: []}
     tail = history.history_tail(df, 3).filter("conversation_id = 1").orderBy("turn").collect()
     assert [(x.turn, x.id) for x in tail] == [(1, 3), (2, 4), (3, 5)]
 
