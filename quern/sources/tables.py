@@ -1,4 +1,4 @@
-"""Readers of uploaded tables: csv, tsv, json, jsonl, and xlsx where a reader for it is installed.
+"""Readers of uploaded tables: csv, tsv, json, jsonl and xlsx.
 
 All cells are text; ``position`` is the 1-based place of a row in its file (the header is 1). Literal
 ``NA`` and leading zeros stay as they are.
@@ -15,6 +15,7 @@ from pyspark.sql import types as t
 
 from quern.operators.ingest import FIRST_ROW, IngestError
 from quern.operators.ordered import fragment, rank_rows
+from quern.sources.sheets import sheet_rows
 
 POSITION = "position"
 
@@ -79,15 +80,15 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _sheet(spark: SparkSession, path: str, sheet: int | str) -> DataFrame:
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError as e:
-        raise IngestError("reading spreadsheets needs openpyxl") from e
-    table = pd.read_excel(path, sheet_name=sheet, dtype=object, keep_default_na=False)
-    rows = [[(v.isoformat() if hasattr(v, "isoformat") else str(v)) for v in r] + [i] for i, r in enumerate(table.itertuples(index=False), FIRST_ROW)]
-    schema = t.StructType([*[t.StructField(str(c), t.StringType()) for c in table.columns], t.StructField(POSITION, t.LongType())])
-    return spark.createDataFrame(rows, schema)
+    rows = sheet_rows(spark, path, sheet)
+    top = rows.filter(F.col("position") == FIRST_ROW - 1).first()
+    if top is None:
+        raise IngestError("the sheet has no header")
+    names = [n if n.strip() else f"Unnamed: {i}" for i, n in enumerate(top["cells"])]
+    if len(set(names)) < len(names):
+        raise IngestError("the same header stands twice")
+    cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return rows.filter(F.col("position") >= FIRST_ROW).select(*cells, POSITION)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:

@@ -154,3 +154,42 @@ def test_replies_with_defects_have_defined_results(spark):
     got = {r.i: r.f for r in df.select("i", selection.selected_fields(F.array(F.lit("b")), F.col("r"), ["a", "b", "content"]).alias("f")).collect()}
     every = ["a", "b", "content"]
     assert got == {0: every, 1: every, 2: every, 3: every, 4: ["b", "a", "content"], 5: ["b", "content"]}
+
+
+def workbook(path, rows, shared=("Mã", "Tên dịch vụ", "00123", "NA")):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Một" sheetId="1" r:id="r1"/><sheet name="Hai" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><r><t>{x[:1]}</t></r><r><t>{x[1:]}</t></r></si>" for x in shared) + "</sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/s1.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet {main}><sheetData><row><c t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+
+
+def test_a_sheet_of_a_workbook(spark, tmp_path):
+    from quern.operators.ingest import IngestError
+    from quern.sources.tables import read_upload
+
+    path = str(tmp_path / "a.xlsx")
+    workbook(path, '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="str"><v>D</v></c></row>'
+             '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2" t="s"><v>3</v></c><c r="C2"><v>5</v></c><c r="D2" s="1"><v>45292</v></c></row>'
+             '<row r="4"><c r="B4"><v>1.5</v></c><c r="C4" t="b"><v>1</v></c><c r="D4" s="2"><v>45292.5</v></c></row>')
+    got = read_upload(spark, path)
+    assert got.columns == ["Mã", "Tên dịch vụ", "Unnamed: 2", "D", "position"]
+    assert [tuple(r) for r in got.orderBy("position").collect()] == [("00123", "NA", "5", "2024-01-01T00:00:00", 2), ("", "1.5", "True", "2024-01-01T12:00:00", 4)]
+    assert read_upload(spark, path, "Hai").columns == ["x", "position"] and read_upload(spark, path, 1).count() == 0
+    with pytest.raises(Exception, match="no sheet"):
+        read_upload(spark, path, "Ba").collect()
+    assert issubclass(IngestError, ValueError)
+
+
+def test_positions_are_counted_in_each_file(spark, tmp_path):
+    from quern.sources.tables import read_upload
+
+    (tmp_path / "d.csv").mkdir()
+    for n in "ab":
+        (tmp_path / "d.csv" / f"{n}.csv").write_text("x,y\n" + "".join(f'{n}{i},"q\nr"\n' for i in range(50)))
+    got = {r.x: r.position for r in read_upload(spark, str(tmp_path / "d.csv")).collect()}
+    assert got == {f"{n}{i}": i + 2 for n in "ab" for i in range(50)}
