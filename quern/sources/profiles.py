@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass, field
 
 from quern.operators.ingest import IngestError
 from quern.operators.schema_drift import fold_header
 from quern.operators.retrieval import public_columns
-from quern.sources.snapshots import Snapshots, write_json
+from quern.sources.files import Files
+from quern.sources.snapshots import Snapshots
 
 _KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 #: Settings that may change without a new ingestion.
@@ -90,33 +90,31 @@ class Registry:
     """Datasets under one folder, each with its snapshots and a lifecycle state."""
 
     def __init__(self, folder: str, protected: str = "default"):
-        self.folder, self.protected = folder, protected
-        os.makedirs(folder, exist_ok=True)
+        self.folder, self.protected = folder.rstrip("/"), protected
+        self.files = Files(self.folder)
+        self.files.make()
 
     def snapshots(self, name: str) -> Snapshots:
         if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", name):
             raise IngestError("not a usable dataset name")
-        return Snapshots(os.path.join(self.folder, name))
+        return Snapshots(f"{self.folder}/{name}")
 
     def state(self, name: str) -> str:
-        import json
-
-        try:
-            with open(os.path.join(self.folder, name, "lifecycle.json"), encoding="utf-8") as f:
-                return json.load(f).get("status", "enabled")
-        except (OSError, ValueError):
-            return "enabled"
+        got = self.files.read_json(f"{name}/lifecycle.json")
+        return got.get("status", "enabled") if isinstance(got, dict) else "enabled"
 
     def set_state(self, name: str, status: str) -> None:
         if status not in ("enabled", "disabled", "deleted"):
             raise IngestError("unknown state")
         if name == self.protected and status == "deleted":
             raise IngestError("the default dataset can't be deleted")
-        write_json(os.path.join(self.folder, name, "lifecycle.json"), {"status": status})
+        self.files.make(name)
+        self.files.write_json(f"{name}/lifecycle.json", {"status": status})
 
     def names(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.folder) if os.path.isdir(os.path.join(self.folder, n)))
+        """The protected dataset and all that have a folder."""
+        return sorted({self.protected, *(n for n in self.files.names() if self.files.is_folder(n))})
 
     def ready(self) -> list[str]:
         """Enabled datasets with an active generation."""
-        return [n for n in self.names() if self.state(n) == "enabled" and self.snapshots(n).active()]
+        return [n for n in self.names() if self.state(n) == "enabled" and self.files.is_folder(n) and self.snapshots(n).active()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-import shutil
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -13,8 +13,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators.ingest import IngestError
+from quern.sources.files import Files
 
 _ID = re.compile(r"[0-9a-f]{32}\Z")
+_LOCK = "writer.lock"
 _PARTS = ("records", "vectors", "profile.json", "report.json")
 
 
@@ -33,40 +35,39 @@ def write_json(path: str, value: object) -> None:
 
 
 class Snapshots:
-    """Generations of one dataset under a folder that all executors share."""
+    """Generations of one dataset under a folder, in any file system that all executors share."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
+    def __init__(self, folder: str, stale_s: float = 86_400.0):
+        self.folder, self.stale_s = folder.rstrip("/"), stale_s
+        self.files = Files(self.folder)
+        self.files.make()
 
     def path(self, generation: str, part: str) -> str:
-        return os.path.join(self.folder, generation, part)
+        return f"{self.folder}/{generation}/{part}"
 
     def active(self) -> str | None:
-        try:
-            with open(os.path.join(self.folder, "current.json"), encoding="utf-8") as f:
-                got = json.load(f).get("generation")
-        except (OSError, ValueError, AttributeError):
-            return None
-        return got if isinstance(got, str) and _ID.match(got) else None
+        got = self.files.read_json("current.json")
+        generation = got.get("generation") if isinstance(got, dict) else None
+        return generation if isinstance(generation, str) and _ID.match(generation) else None
 
     def generations(self) -> list[str]:
         """Whole generations, newest first."""
-        there = [g for g in os.listdir(self.folder) if _ID.match(g) and all(os.path.exists(self.path(g, p)) for p in _PARTS)]
-        return sorted(there, key=lambda g: (os.path.getmtime(os.path.join(self.folder, g)), g), reverse=True)
+        there = [g for g in self.files.names() if _ID.match(g) and all(self.files.exists(f"{g}/{p}") for p in _PARTS)]
+        return sorted(there, key=lambda g: (self.files.modified_ms(f"{g}/report.json"), g), reverse=True)
 
     @contextmanager
     def lock(self):
-        """One writer at a time; the lock is a file that only one can create."""
-        path = os.path.join(self.folder, "writer.lock")
-        try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-        except FileExistsError as e:
-            raise IngestError("another writer is at work") from e
+        """One writer at a time; the lock is a file that only one can create. One older than ``stale_s`` is of a writer that is gone."""
+        if not self.files.create(_LOCK):
+            if time.time() * 1000 - self.files.modified_ms(_LOCK) < self.stale_s * 1000:
+                raise IngestError("another writer is at work")
+            self.files.remove(_LOCK)
+            if not self.files.create(_LOCK):
+                raise IngestError("another writer is at work")
         try:
             yield
         finally:
-            os.remove(path)
+            self.files.remove(_LOCK)
 
     def publish(self, records: DataFrame, report: dict, profile: dict, vectors: Callable[[DataFrame], DataFrame] | None = None) -> str:
         """Write a new generation, check it and make it active. If anything fails, what was active stays so.
@@ -86,11 +87,11 @@ class Snapshots:
                 lacking = stored.select("record_id").join(spark.read.parquet(self.path(generation, "vectors")).select("record_id"), "record_id", "left_anti")
                 if not lacking.isEmpty():
                     raise IngestError("records without a vector")
-                write_json(self.path(generation, "profile.json"), profile)
-                write_json(self.path(generation, "report.json"), report)
-                write_json(os.path.join(self.folder, "current.json"), {"generation": generation})
+                self.files.write_json(f"{generation}/profile.json", profile)
+                self.files.write_json(f"{generation}/report.json", report)
+                self.files.write_json("current.json", {"generation": generation})
             except BaseException:
-                shutil.rmtree(os.path.join(self.folder, generation), ignore_errors=True)
+                self.files.remove(generation)
                 raise
         return generation
 
@@ -98,7 +99,7 @@ class Snapshots:
         if generation not in self.generations():
             raise IngestError("no such generation")
         with self.lock():
-            write_json(os.path.join(self.folder, "current.json"), {"generation": generation})
+            self.files.write_json("current.json", {"generation": generation})
 
     def read(self, spark: SparkSession, part: str = "records") -> DataFrame:
         if (generation := self.active()) is None:
@@ -108,12 +109,12 @@ class Snapshots:
 
 def archive(folder: str, into: str) -> str:
     """Move a dataset's folder into an archive with a manifest; on failure it is moved back."""
-    target = os.path.join(into, f"{os.path.basename(folder)}-{uuid.uuid4().hex[:8]}")
-    os.makedirs(into, exist_ok=True)
-    os.replace(folder, target)
+    source, target = Files(folder), Files(f"{into.rstrip('/')}/{folder.rstrip('/').rsplit('/', 1)[-1]}-{uuid.uuid4().hex[:8]}")
+    Files(into).make()
+    source.move_to(target)
     try:
-        write_json(os.path.join(target, "manifest.json"), {"moved_from": os.path.abspath(folder)})
+        target.write_json("manifest.json", {"moved_from": folder})
     except BaseException:
-        os.replace(target, folder)
+        target.move_to(source)
         raise
-    return target
+    return target.folder

@@ -97,7 +97,7 @@ def test_publish_rollback_and_failures(spark, tmp_path):
     assert not os.path.exists(tmp_path / "x.json")
 
 
-def test_archive(tmp_path):
+def test_archive(spark, tmp_path):
     (tmp_path / "d").mkdir()
     target = snapshots.archive(str(tmp_path / "d"), str(tmp_path / "old"))
     assert not (tmp_path / "d").exists() and json.load(open(os.path.join(target, "manifest.json")))["moved_from"].endswith("/d")
@@ -124,7 +124,7 @@ def test_profiles_overlays_and_lifecycle(spark, tmp_path):
     reg = profiles.Registry(str(tmp_path))
     reg.snapshots("d").publish(spark.createDataFrame([("a",)], "record_id string"), {"indexed_rows": 1}, GOOD)
     reg.snapshots("e")
-    assert reg.names() == ["d", "e"] and reg.ready() == ["d"]
+    assert reg.names() == ["d", "default", "e"] and reg.ready() == ["d"]
     reg.set_state("d", "disabled")
     assert reg.state("d") == "disabled" and reg.ready() == []
     reg.snapshots("default")

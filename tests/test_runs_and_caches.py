@@ -193,3 +193,22 @@ def test_positions_are_counted_in_each_file(spark, tmp_path):
         (tmp_path / "d.csv" / f"{n}.csv").write_text("x,y\n" + "".join(f'{n}{i},"q\nr"\n' for i in range(50)))
     got = {r.x: r.position for r in read_upload(spark, str(tmp_path / "d.csv")).collect()}
     assert got == {f"{n}{i}": i + 2 for n in "ab" for i in range(50)}
+
+
+def test_a_lock_of_a_writer_that_is_gone_is_taken_over(spark, tmp_path):
+    from quern.operators.ingest import IngestError
+    from quern.sources.snapshots import Snapshots
+
+    s = Snapshots(str(tmp_path / "d"))
+    with s.lock():
+        with pytest.raises(IngestError):
+            with s.lock():
+                pass
+    assert s.files.names() == []
+    s.files.create("writer.lock")
+    time.sleep(0.05)
+    with Snapshots(str(tmp_path / "d"), stale_s=0.01).lock():
+        pass
+    s.files.write_json("a.json", {"x": 1})
+    s.files.write_json("a.json", {"x": 2})
+    assert s.files.read_json("a.json") == {"x": 2} and s.files.read_json("b.json") is None
