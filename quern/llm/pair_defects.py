@@ -79,9 +79,11 @@ STOPWORDS = {
 STOPWORDS = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
 _LANGUAGES_OF = {w: [k for k, v in STOPWORDS.items() if w in v] for w in frozenset().union(*STOPWORDS.values())}
 _SCRIPTS = (("zh", re.compile("[㐀-鿿豈-﫿]")), ("ja", re.compile("[぀-ヿ]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[Ѐ-ӿ]")), ("th", re.compile("[฀-๿]")), ("ar", re.compile("[؀-ۿ]")))
+_ANY_SCRIPT = re.compile("[" + "".join(p.pattern[1:-1] for _, p in _SCRIPTS) + "]")
 _VIETNAMESE = re.compile("[ăâđêôơưĂÂĐÊÔƠƯạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủũứừửữựỳỵỷỹĩ]")
 
 _WORDS = re.compile(r"\w+")
+_VIETNAMESE_WORDS = re.compile(rf"\w*{_VIETNAMESE.pattern}\w*")
 _SENTENCES = re.compile(r"(?<=[.!?…。！？])(?:[\"”»’)]*)\s+|\n+")
 _BRACKETS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "」": "「", "）": "（"}
 _ITEM = re.compile(r"^\s*(?:[-*•+–]|\(?\d{1,3}[.)]|[a-z][.)])\s+(.*)$")
@@ -246,20 +248,20 @@ def language_votes(text: str) -> Counter:
     """Votes for languages: stopwords by occurrence, and letters of scripts that only few languages use."""
     votes: Counter = Counter()
     composed = unicodedata.normalize("NFKC", text)
-    for lang, script in _SCRIPTS if not composed.isascii() else ():
+    for lang, script in _SCRIPTS if not composed.isascii() and _ANY_SCRIPT.search(composed) else ():
         if n := len(script.findall(composed)):
             votes[lang] += n if lang in ("zh", "ja", "th") else len(re.findall(script.pattern + "+", composed))
-    accented = 0
-    tokens = _WORDS.findall(composed.casefold())
-    for w, n in Counter(tokens).items():
-        for lang in _LANGUAGES_OF.get(w, ()):
-            votes[lang] += n
-        if not w.isascii() and _VIETNAMESE.search(w):
-            accented += n
+    folded = composed.casefold()
+    accented = 0 if composed.isascii() else len(_VIETNAMESE_WORDS.findall(folded))
+    tokens = _WORDS.findall(folded)
+    for w in tokens:
+        if w in _LANGUAGES_OF:
+            for lang in _LANGUAGES_OF[w]:
+                votes[lang] += 1
     votes["vi"] += accented
     plain = votes.pop("vi_plain", 0)
-    letters = [w for w in tokens if w.isalpha()]
-    if not accented and len(letters) >= 3 and all(map(str.isascii, letters)):
+    letters = [] if accented else [w for w in tokens if w.isalpha()]
+    if len(letters) >= 3 and all(map(str.isascii, letters)):
         syllables = sum(1 for w in letters if _SYLLABLE.match(w))
         if syllables >= 0.65 * len(letters) and plain > votes["en"]:  # Vietnamese typed without accents: all words are its syllables
             votes["vi"] += len(letters)
