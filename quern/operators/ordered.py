@@ -18,6 +18,22 @@ FRAGMENT = "__fragment"
 FRAGMENT_BYTES = 128 << 20
 
 
+#: So many keys at most are sent to every task.
+SENT_KEYS = 1_000_000
+
+
+def once_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key. Only rows whose key comes more than once are moved; all others stay where and in the order they lie.
+
+    Should more than ``SENT_KEYS`` keys come more than once, they are joined by a shuffle instead of being sent
+    to the tasks. Rows without a key are one row, as ``dropDuplicates`` has it.
+    """
+    again = cut_lineage(rows.groupBy(key).count().filter("count > 1").select(F.col(key).alias("__again")))
+    again = F.broadcast(again) if again.count() <= SENT_KEYS else again
+    same = rows[key].eqNullSafe(again["__again"])
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Join rows with a table that has one row per key, where a key may hold a third of the rows.
 
@@ -29,6 +45,19 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str =
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def hot_join(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", share: float = 0.001) -> DataFrame:
+    """Join rows with a large table that has one row per key, where a key may hold a third of the rows.
+
+    Keys with more than ``share`` of the rows, at most ``1 / share`` of them, are sent to the rows; the others
+    are shuffled. ``how`` is inner or left.
+    """
+    counts = cut_lineage(rows.groupBy(*keys).count())
+    least = share * (counts.agg(F.sum("count")).first()[0] or 0)
+    hot = F.broadcast(per_key.join(F.broadcast(counts.filter(F.col("count") > least).select(*keys)), keys, "left_semi"))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(per_key, keys, how)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def fragment(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
     """Add the number of the range fragment of every row and fix it.
 

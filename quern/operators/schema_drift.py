@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.ordered import fragment, lag_rows, salted_join
+from quern.operators.ordered import fragment, hot_join, lag_rows, once_each
 from quern.session import cut_lineage
 
 SKETCH = 8
@@ -124,16 +124,6 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(columns, names=["job_id", "header", *_STATS])
 
 
-def once_each(rows: DataFrame, key: str) -> DataFrame:
-    """One row per key. Only rows whose key comes more than once are moved; all others stay where and in the order they lie.
-
-    Rows without a key are one row, as ``dropDuplicates`` has it.
-    """
-    again = rows.groupBy(key).count().filter("count > 1").select(F.col(key).alias("__again"))
-    same = rows[key].eqNullSafe(again["__again"])
-    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
-
-
 def column_profiles(records: DataFrame) -> DataFrame:
     """``job_id, header`` (folded)``, n_<kind>..., s0...``: kinds and value sketch of every column of every job.
 
@@ -371,12 +361,12 @@ def unify(body: str | None, field_of: dict[str, str]) -> tuple[dict[str, str | N
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for row_id, job, line, body, names in b.itertuples(index=False):
+        for row_id, domain, job, line, body, names in b.itertuples(index=False):
             field_of: dict[str, str] = {}
             for n in sorted(names if names is not None else [], key=lambda n: (n["header"], n["field"])):
                 field_of.setdefault(fold_header(n["header"]), n["field"])
-            out.append((row_id, job, line, *unify(body, field_of)))
-        yield pd.DataFrame(out, columns=["row_id", "job_id", "line_no", "fields", "extra"])
+            out.append((row_id, domain, job, line, *unify(body, field_of)))
+        yield pd.DataFrame(out, columns=["row_id", "domain", "job_id", "line_no", "fields", "extra"])
 
 
 def unified_records(jobs: DataFrame, records: DataFrame, likeness: float = 0.35) -> DataFrame:
@@ -386,8 +376,8 @@ def unified_records(jobs: DataFrame, records: DataFrame, likeness: float = 0.35)
     what no profile maps and what a field has a second time; no value is lost. Records of jobs without a readable profile have all their values in ``extra``.
     """
     names = unified_names(jobs, records, likeness).groupBy("job_id").agg(F.collect_list(F.struct("header", "field")).alias("names"))
+    domains = jobs.select(F.col("id").alias("job_id"), "domain").filter("job_id is not null").dropDuplicates(["job_id"])
+    of_job = cut_lineage(domains.join(names, "job_id", "full"))
     rows = once_each(records.select("row_id", "job_id", "line_no", "body"), "row_id")
-    cells = salted_join(rows, names, ["job_id"], "left").select("row_id", "job_id", "line_no", "body", "names")
-    out = cells.mapInPandas(_cells, "row_id bigint, job_id string, line_no int, fields map<string,string>, extra map<string,string>")
-    domains = jobs.select(F.col("id").alias("job_id"), "domain").dropDuplicates(["job_id"])
-    return salted_join(out, domains, ["job_id"], "left").select("row_id", "domain", "job_id", "line_no", "fields", "extra")
+    cells = hot_join(rows, of_job, ["job_id"], "left").select("row_id", "domain", "job_id", "line_no", "body", "names")
+    return cells.mapInPandas(_cells, "row_id bigint, domain string, job_id string, line_no int, fields map<string,string>, extra map<string,string>")

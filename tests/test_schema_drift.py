@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quern.operators import schema_drift as d
+from quern.operators.ordered import once_each
 
 JOBS = "id string, domain string, created_at string, profile string, extra string"
 RECORDS = "row_id bigint, job_id string, line_no int, body string, extra string"
@@ -106,7 +107,7 @@ def test_no_value_of_a_record_is_lost():
 
 def test_once_each_is_drop_duplicates(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, "d")], "k bigint, v string")
-    assert sorted(map(tuple, d.once_each(rows, "k").collect()), key=str) == sorted(map(tuple, rows.dropDuplicates(["k"]).collect()), key=str)
+    assert sorted(map(tuple, once_each(rows, "k").collect()), key=str) == sorted(map(tuple, rows.dropDuplicates(["k"]).collect()), key=str)
 
 
 def test_recall_of_likely_renames_on_planted_columns():
