@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.ordered import salted_join
+from quern.operators.ordered import once_each
 from quern.session import cut_lineage
 
 # Opening quotes and brackets with what closes them.
@@ -40,6 +40,8 @@ CLOSERS = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "(":
 UNKNOWN, INSIDE = 1e-2, 1e-7
 #: Least share of the texts with either of two pieces that have them together, for them to be possibly one value.
 TOGETHER = 0.02
+#: A text with a larger share of all rows than this is hot; there are at most as many as its reciprocal.
+HOT = 0.001
 #: Prior of a candidate delimiter being a cut, and the number of delimiters it counts for.
 CUT, CUT_WEIGHT = 0.9, 20.0
 
@@ -381,7 +383,7 @@ def _cut(totals: dict[str, float], cuts: dict[str, dict[str, float]]):
                         spans = best_cutting(len(parts), span_weights(list(zip(first, last)), counts, totals[field], marks, cuts.get(field, {})))
                     items = [value_of(parts, i, j) for i, j in spans]
                 out.append(items)
-            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("text"), pa.array(out, pa.list_(pa.string()))], names=["field", "text", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("text"), b.column("n"), pa.array(out, pa.list_(pa.string()))], names=["field", "text", "n", "items"])
 
     return run
 
@@ -396,8 +398,17 @@ def distinct_texts(columns: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     return counts.withColumn("sid", F.unhex(F.md5(F.concat("field", F.lit("\n"), "text"))))
 
 
+def _to_rows(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with the cuts of their texts. Hot texts, few by definition, are sent to the rows; the rest is shuffled."""
+    by = ["field", "text"]
+    least = HOT * (cuts.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(cuts.filter(F.col("n") > least).select(*by, "items"))
+    cold = cuts.filter(F.col("n") <= least).select(*by, "items")
+    return rows.join(hot, by).unionByName(rows.join(hot.select(*by), by, "left_anti").join(cold, by))
+
+
 def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds: int = 3) -> DataFrame:
-    """``field, row_id, item_no, value``: one row per value, numbered from 1 in order.
+    """``field, row_id, item_no, items, value``: one row per value, numbered from 1 in order, ``items`` of them in the row.
 
     ``columns``: name of the field, its table, its id column, its text column. Each field has its own
     value frequencies. A text with one value yields that one row.
@@ -407,10 +418,11 @@ def split_columns(columns: list[tuple[str, DataFrame, Column, Column]], rounds:
     spanned = cut_lineage(lattices.join(chosen, "sid").mapInArrow(_spanned, _SPANNED))
     model, totals, chances = learn_values(lattices, chosen, spanned, rounds)
     known = _looked_up(spanned, model).select("sid", "first", "last", "counts")
-    cuts = lattices.join(known, "sid", "left").select("field", "text", "marks", "first", "last", "counts").mapInArrow(_cut(totals, chances), "field string, text string, items array<string>")
+    cuts = lattices.join(known, "sid", "left").select("field", "text", "n", "marks", "first", "last", "counts").mapInArrow(_cut(totals, chances), "field string, text string, n bigint, items array<string>")
     rows = None
     for name, df, rid, text in columns:
-        part = df.select(F.lit(name).alias("field"), rid.alias("row_id"), text.cast("string").alias("text")).dropDuplicates(["row_id"])
+        part = once_each(df.select(F.lit(name).alias("field"), rid.alias("row_id"), text.cast("string").alias("text")), "row_id")
         rows = part if rows is None else rows.unionByName(part)
-    found = salted_join(rows, cuts, ["field", "text"])
-    return found.select("field", "row_id", F.posexplode("items").alias("pos", "value")).select("field", "row_id", (F.col("pos") + 1).cast("bigint").alias("item_no"), "value")
+    found = _to_rows(rows, cut_lineage(cuts))
+    every = found.select("field", "row_id", F.size("items").alias("n"), F.posexplode("items").alias("pos", "value"))
+    return every.select("field", "row_id", (F.col("pos") + 1).cast("bigint").alias("item_no"), F.col("n").cast("bigint").alias("items"), "value")
