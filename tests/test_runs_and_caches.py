@@ -212,3 +212,14 @@ def test_a_lock_of_a_writer_that_is_gone_is_taken_over(spark, tmp_path):
     s.files.write_json("a.json", {"x": 1})
     s.files.write_json("a.json", {"x": 2})
     assert s.files.read_json("a.json") == {"x": 2} and s.files.read_json("b.json") is None
+
+
+def test_nearest_titles_match_brute_force(spark):
+    import difflib
+
+    titles = ["Hoc bong A", "hoc-bong", "Học bổng", "Lịch thi", "hocbongx", "x", None]
+    rows = spark.createDataFrame([("s", t) for t in titles] + [("r", "gì")], "school string, title string")
+    got = evaluation.nearest_titles(rows, spark.createDataFrame([("s", "Hoc bong"), ("q", "y")], "school string, target string"), "school", "title").orderBy("no").collect()
+    plain = {"Hoc bong A": "hocbonga", "hoc-bong": "hocbong", "Học bổng": "hocbong", "Lịch thi": "lichthi", "hocbongx": "hocbongx", "x": "x"}
+    want = sorted(plain, key=lambda t: (difflib.SequenceMatcher(None, "hocbong", plain[t]).ratio(), t), reverse=True)[:3]
+    assert [r.title for r in got] == want and {r.school for r in got} == {"s"}
