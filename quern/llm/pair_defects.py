@@ -221,6 +221,12 @@ def _refusal_automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _declines(said: str, prompt: str) -> bool:
+    """Whether a sentence declines in words that the prompt lacks: a question that is repeated may have the like of its own."""
+    m = _DECLINES.search(said)
+    return bool(m) and m.group() not in " ".join(words(prompt))
+
+
 def refuses(response: str, prompt: str = "") -> bool:
     """Whether the response declines and says nothing else. A question back or an offer to search is no refusal.
 
@@ -233,7 +239,7 @@ def refuses(response: str, prompt: str = "") -> bool:
             continue
         if sentence.rstrip().rstrip("\"”»").endswith(("?", "？")) or (_OFFER.search(said) and re.search(r"\b(?:dong y|co muon|shall i|may i|would you like|do you want|neu ban|if you)\b", said)):
             return False
-        if (any(True for _ in _refusal_automaton().iter(f" {said} ")) or _DECLINES.search(said)) and _SPEAKERS.search(said):
+        if (any(True for _ in _refusal_automaton().iter(f" {said} ")) or _declines(said, prompt)) and _SPEAKERS.search(said):
             if numbers := [w for w in said.split() if any(c.isdigit() for c in w)]:
                 asked = set(words(prompt)) if asked is None else asked
                 if not asked.issuperset(numbers):

@@ -86,3 +86,8 @@ def test_a_long_lead_in_before_a_copy():
 def test_foreign_terms_do_not_hide_the_language_of_a_question():
     assert p.language("deadline submit form hoan thi tren lms la khi nao?", 1) == "vi"
     assert p.defect("deadline submit form hoan thi tren lms la khi nao?", "The article covers how to change the programme and the fee is paid at the desk.") == "other_language"
+
+
+def test_a_copied_question_that_sounds_like_declining_is_a_copy():
+    asked = "em là sinh viên thì có được mượn máy qua biểu mẫu trực tuyến không ạ Mong được phản hồi sớm!"
+    assert p.defect(asked, asked + ".") == "copies_question"
