@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import is_ascii, plain_words_col, strip
 from quern.operators.retrieval import excerpt
+from quern.session import cut_lineage
 
 # Fields that are always shown where they exist; lengths of shown titles, samples and scopes; least, most and whole budget of excerpts.
 ALWAYS = ("description", "content")
 TITLE, SAMPLE, SCOPE = 160, 180, 180
 LEAST, MOST, BUDGET = 120, 500, 2600
+#: So many bytes of telling phrases at most are sent to every task; bytes that a row has besides its texts.
+SENT_BYTES, ROW_BYTES = 16 << 20, 64
 
 
 def json_list(reply: Column) -> Column:
@@ -106,14 +109,21 @@ def specific_owners(questions: DataFrame, titles: DataFrame) -> DataFrame:
     ``questions``: ``question_id, phrases``; ``titles``: ``owner, phrases`` (arrays of n-grams). A phrase tells if the
     titles of one owner only hold it; of a question's telling phrases, one within a longer one doesn't count.
     """
-    owned = titles.select("owner", F.explode("phrases").alias("phrase")).filter("owner is not null").distinct()
-    one = owned.groupBy("phrase").agg(F.min("owner").alias("owner"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    told = questions.select("question_id", F.explode(F.array_distinct("phrases")).alias("phrase")).join(one, "phrase")
-    # the phrases of one question are bounded by its words
-    held = told.groupBy("question_id").agg(F.collect_list(F.struct("phrase", "owner")).alias("p"))
-    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    alone = F.filter("p", lambda a: ~F.exists("p", lambda b: (F.length(b["phrase"]) > F.length(a["phrase"])) & F.contains(padded(b["phrase"]), padded(a["phrase"]))))
-    return held.select("question_id", F.explode(F.array_distinct(F.transform(alone, lambda a: a["owner"]))).alias("owner"))
+    owned = titles.select("owner", F.explode("phrases").alias("phrase")).filter("owner is not null")
+    one = owned.groupBy("phrase").agg(F.min("owner").alias("owner"), F.max("owner").alias("__last")).filter("owner = __last").drop("__last")
+    one = cut_lineage(one)
+    size = one.agg(F.sum(F.octet_length("phrase") + F.octet_length(F.col("owner").cast("string")) + ROW_BYTES)).first()[0] or 0
+    # named either way: estimated from the size of its file, the exploded side would be taken for the small one and be sent
+    one = F.broadcast(one) if size <= SENT_BYTES else one.hint("merge")
+    told = questions.select("question_id", F.explode("phrases").alias("phrase")).join(one, "phrase")
+    words, none = F.split("phrase", " "), F.lit(None).cast(one.schema["owner"].dataType)
+    part = lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.struct(F.array_join(F.slice(words, i, k), " ").alias("phrase"), none.alias("owner")))
+    inner = F.when(F.col("question_id").isNotNull() & (F.size(words) > 1), F.flatten(F.transform(F.sequence(F.lit(1), F.size(words) - 1), part)))
+    own = F.array(F.struct("phrase", "owner"))
+    # each phrase with its owner, and without one where it stands in a longer phrase; questions without id are no one question
+    every = told.select("question_id", F.explode(F.concat(own, F.coalesce(inner, F.slice(own, 1, 0)))).alias("p")).select("question_id", "p.*")
+    alone = every.groupBy("question_id", "phrase").agg(F.max("owner").alias("owner"), F.bool_or(F.col("owner").isNull()).alias("within")).filter("not within")
+    return alone.select("question_id", "owner").distinct()
 
 
 def route_of(reply: Column, names: list[str]) -> Column:
