@@ -7,8 +7,8 @@ no chain beats the text as it stands, the sentence stays unchanged.
 
 Edge cases, all covered by tests: null, empty and blank texts are sound; rows with equal id count once in
 ``garbled``; texts of any length are read whole; a replacement character is garbled but can't be restored;
-empty tables give empty results; other columns are ignored; without labelled rows one common dictionary
-is used, without any text none.
+empty tables give empty results; other columns are ignored; texts without label or of rare labels have one
+common dictionary, without any text there is none.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import cut_lineage
+
 # Codecs by which UTF-8 is most often read wrongly; c1 codes fill what a codec leaves undefined.
 MISREAD = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1258", "cp866", "koi8_r")
 # Codecs whose characters are ordinary letters of a language, so that only whole runs of them tell that UTF-8 was read.
@@ -31,8 +33,11 @@ RUNS_OF = ("cp874", "gbk", "big5", "cp932", "cp949")
 # 8-bit codecs that texts had, and the ones they were read by instead.
 LEGACY = (("cp1258", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"))
 BOM = "\ufeff"
-#: Longest text that takes part in a language's sample, so that its bytes are bounded too.
+#: Longest text that takes part in a sample of a language, should one be asked for, so that its bytes are bounded too.
 LONGEST_DRAWN = 20_000
+#: Bytes of texts that a task trains a dictionary on, how many such dictionaries are trained on to make one, bytes of the
+#: pieces that texts are cut into for it, and of the segments that a dictionary is made of.
+TRAINED_BYTES, FAN, PIECE, SEGMENT = 8 << 20, 64, 2048, 256
 #: Cost in bytes of naming a chain for the first time in a text, for each of its steps, and of using it again.
 NAME_COST, STEP_COST, AGAIN_COST = 2.0, 1.0, 0.0
 #: Cost in bytes of a character that sound texts of the corpus don't have, of a letter of a script that they don't have,
@@ -252,17 +257,111 @@ def restore(text: str, length: DescriptionLength) -> tuple[str, list[str]]:
     return out.removeprefix(BOM) if really else out, [u for u in used if u in really]
 
 
-def train(documents: DataFrame, text: Column, lang: Column, per_language: int = 300, languages: int = 12, size: int = 32768) -> tuple[dict[str, bytes], frozenset[str]]:
-    """Dictionaries of the ``languages`` most frequent labels, each from at most ``per_language`` labelled texts.
+def train(documents: DataFrame, text: Column, lang: Column, per_language: int | None = None, languages: int = 12, size: int = 32768) -> tuple[dict[str, bytes], frozenset[str]]:
+    """Dictionaries of the ``languages`` most frequent labels and, as '', of all other texts; and the alphabet.
 
-    Labels are reduced to their primary subtag. The sample is bounded by these parameters and
-    ``LONGEST_DRAWN`` and taken by hash of the text from the distinct texts without suspect sequences; only the dictionaries depend on
-    it. The second result is the alphabet of all texts without suspect sequences, whatever their label and length.
+    Labels are reduced to their primary subtag. Each distinct text without suspect sequences is trained on, of any
+    length; the result doesn't depend on how the rows lie. The second result is the alphabet of all these texts.
+    With ``per_language`` the dictionaries are of a sample instead: of so many labelled texts of at most
+    ``LONGEST_DRAWN`` characters, first by hash.
     """
     label = F.lower(F.regexp_extract(lang, "^\\s*([A-Za-z]{2,3})", 1))
-    rows = documents.select(label.alias("lang"), text.alias("text")).filter(F.col("text").rlike("\\S"))
-    common = [r["lang"] for r in rows.filter(F.col("lang").rlike("^[a-z]{2,3}$")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    parts = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(_sound_parts(common, per_language), "lang string, text string, hash bigint").distinct()
+    rows = documents.select(F.coalesce(label, F.lit("")).alias("lang"), text.alias("text")).filter(F.col("text").rlike("\\S"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("n"), "lang").collect()
+    common = [r["lang"] for r in counts if r["lang"]][:languages]
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    if per_language is not None:
+        return _train_on_sample(rows, common, per_language, size)
+    sizes = {"": 0, **dict.fromkeys(common, 0)}
+    for r in counts:
+        sizes[r["lang"] if r["lang"] in sizes else ""] += r["size"]
+    parts = {k: max(1, -(-n // TRAINED_BYTES)) for k, n in sizes.items()}
+    kept = "lang string, part bigint, hash bigint, data binary"
+
+    def trained(df: DataFrame, merging: bool) -> DataFrame:
+        return df.repartition("lang", "part").sortWithinPartitions("lang", "part", "hash", "data").mapInArrow(_train_parts(size, merging), kept)
+
+    got = cut_lineage(trained(rows.mapInArrow(_sound_texts(parts), kept), False))
+    made, n = got.filter("lang is not null"), max(parts.values())
+    while n > 1:
+        n = -(-n // FAN)
+        made = trained(made.withColumn("part", F.floor(F.col("part") / FAN)), True)
+    letters = got.filter("lang is null").select(F.col("data").cast("string").alias("c")).distinct().collect()
+    return {r["lang"]: bytes(r["data"]) for r in made.orderBy("lang").collect()}, frozenset(r["c"] for r in letters)
+
+
+def _sound(b: pa.RecordBatch) -> pa.RecordBatch:
+    b = b.filter(pc.invert(_suspect(b.column("text"))))
+    return b.filter(pa.array([not (f and _suspicious(t)) for f, t in zip(_foreign(b.column("text")).to_pylist(), b.column("text").to_pylist())], pa.bool_()))
+
+
+def _letters(alphabet: set[str]) -> list[str]:
+    """Unusual spaces are no letters, and left by wrong decodings."""
+    return [c for c in sorted(alphabet) if c == " " or not c.isspace()]
+
+
+def _part_rows(rows: list[tuple[str | None, int, int, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["lang", "part", "hash", "data"])
+
+
+def _sound_texts(parts: dict[str, int]):
+    """The sound texts of a partition with the part of their language that trains on them, by hash, and each character as a row without language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet: set[str] = set()
+        for b in map(_sound, batches):
+            found = set()  # repeats of other batches are left out where they meet
+            for lang, text, key in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "hash"))):
+                lang = lang if lang in parts else ""
+                found.add((lang, key % parts[lang], key, text))
+            for row in found:
+                alphabet.update(row[3])
+            yield _part_rows([(*row[:3], row[3].encode()) for row in found])
+        yield _part_rows([(None, ord(c) % 64, 0, c.encode()) for c in _letters(alphabet)])
+
+    return run
+
+
+def _dictionary(texts: list[bytes], size: int) -> bytes:
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    try:  # with the parameters named and no share set apart for choosing them, all pieces are trained on
+        return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=8, split_point=1.0).as_bytes()
+    except zstandard.ZstdError:  # too few texts to train on: they are the dictionary
+        return b"\n".join(texts)[:size]
+
+
+def _train_parts(size: int, merging: bool):
+    """A dictionary of the distinct texts of each part; when ``merging``, of the dictionaries of some parts. Rows come sorted; those without language are passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, texts = None, []
+
+        def made() -> pa.RecordBatch:
+            data = texts[0] if merging and len(texts) == 1 else _dictionary(texts, size)
+            return _part_rows([(*at, at[1], data)])
+
+        for b in batches:
+            passed = set()
+            for lang, part, data in zip(*(b.column(c).to_pylist() for c in ("lang", "part", "data"))):
+                if lang is None:
+                    passed.add((lang, part, 0, data))
+                    continue
+                if (lang, part) != at:
+                    if texts:
+                        yield made()
+                    at, texts = (lang, part), []
+                if not texts or texts[-1] != data:
+                    texts.append(data)
+            yield _part_rows(list(passed))
+        if texts:
+            yield made()
+
+    return run
+
+
+def _train_on_sample(rows: DataFrame, common: list[str], per_language: int, size: int) -> tuple[dict[str, bytes], frozenset[str]]:
+    parts = rows.mapInArrow(_sound_parts(common, per_language), "lang string, text string, hash bigint").distinct()
     first = Window.partitionBy("lang").orderBy("hash", "text")
     got = parts.withColumn("n", F.row_number().over(first)).filter((F.col("lang") == "") | (F.col("n") <= per_language)).select("lang", "text").collect()
     sample = [r for r in got if r["lang"]]
@@ -294,9 +393,7 @@ def _sound_parts(languages: list[str], most: int):
         alphabet: set[str] = set()
         drawn: dict[str, set[tuple[int, str]]] = {x: set() for x in languages}
         last = dict.fromkeys(languages, 1 << 63)
-        for b in batches:
-            b = b.filter(pc.invert(_suspect(b.column("text"))))
-            b = b.filter(pa.array([not (f and _suspicious(t)) for f, t in zip(_foreign(b.column("text")).to_pylist(), b.column("text").to_pylist())], pa.bool_()))
+        for b in map(_sound, batches):
             for lang, text, key in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "hash"))):
                 alphabet.update(text)
                 if lang in drawn and key <= last[lang] and len(text) <= LONGEST_DRAWN:
@@ -305,7 +402,7 @@ def _sound_parts(languages: list[str], most: int):
                     if len(own) >= 2 * most:
                         drawn[lang] = own = set(sorted(own)[:most])
                         last[lang] = max(own)[0]
-        rows = [("", c, 0) for c in sorted(alphabet) if c == " " or not c.isspace()]  # unusual spaces are no letters, and left by wrong decodings
+        rows = [("", c, 0) for c in _letters(alphabet)]
         rows += [(lang, text, key) for lang, own in drawn.items() for key, text in sorted(own)[:most]]
         for i in range(0, len(rows), 1000):
             some = zip(*rows[i : i + 1000])

@@ -139,3 +139,25 @@ def test_passages_of_an_unlabelled_language_are_restored(spark):
     assert set(greek) - set(VI) - set(" .") <= alphabet
     bad = [(200 + i, garble("Οι αιτήσεις.", c), None, "x") for i, c in enumerate(("mac_roman", "cp437", "cp1251"))]
     assert {r.doc_id: r.restored for r in m.restored(df.union(table(spark, bad)), *args).collect() if r.garbled} == {b[0]: "Οι αιτήσεις." for b in bad}
+
+
+def test_dictionaries_are_of_all_sound_texts_however_rows_lie(spark):
+    words = [f"mã{i * 7919 % 100003}" for i in range(4000)]
+    rows = [(i, f"Hồ sơ {words[i]} nộp tại phòng {words[-i]}.", "vi", "x") for i in range(2000)]
+    rows += [(3000 + i, f"the {w} desk", lang, "x") for i, (w, lang) in enumerate(zip(words, ["en"] * 40 + ["de"] * 40 + [None] * 40))]
+    rows += [(4000, "Điều khoản dài nhất của quy chế. " * 1000, "vi", "x"), (4001, garble(VI, "cp1252"), "vi", "x"), (4002, "  ", None, "x")]
+    df = table(spark, rows + rows[:50])
+    by, alphabet = m.train(df.repartition(3), F.col("text"), F.col("lang"), languages=2)
+    assert set(by) == {"vi", "de", ""}
+    assert b"\xc4\x90i\xe1\xbb\x81u kho\xe1\xba\xa3n" in by["vi"]  # of the long text
+    assert all(w.encode() in by[""] for w in words[:40] + words[80:120]) and "Ã" not in alphabet and "Đ" in alphabet
+    assert (by, alphabet) == m.train(df.orderBy(F.desc("doc_id")).repartition(7), F.col("text"), F.col("lang"), languages=2)
+
+
+def test_dictionaries_of_parts_become_one(spark, monkeypatch):
+    monkeypatch.setattr(m, "TRAINED_BYTES", 2000)
+    monkeypatch.setattr(m, "FAN", 3)
+    df = table(spark, [(i, VI + str(i), "vi", "x") for i in range(300)] + [(1000, EN, "en", "x")])
+    by, _ = m.train(df, F.col("text"), F.col("lang"))
+    assert set(by) == {"vi", "en"} and by["en"] == EN.encode() and len(by["vi"]) <= 32768
+    assert "phòng đào tạo".encode() in by["vi"]
